@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrograph.llm import quality
+from ferrograph.llm import decontaminate, quality
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,3 +25,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     rated = quality.rate(docs.select("doc_id", "text"), model)
     return rated.select("doc_id", "quality_probability", "quality_rating", "quality_keep")
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
