@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrograph.llm import decontaminate, quality
+from ferrograph.llm import decontaminate, languages, quality, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,3 +30,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.rate(docs.select("doc_id", "text"), model).select("doc_id", "toxic_probability", "toxic")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = languages.identify(docs.select("doc_id", "text"), *languages.train(docs))
+    return rated.select("doc_id", "language", "languages", "shares", "segments")
