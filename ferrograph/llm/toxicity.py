@@ -54,7 +54,7 @@ ABUSE = {
     "contempt": "pathetic worthless disgusting trash garbage scum filth vermin pig pigs",
     "slur": "bastard bastards bitch bitches whore slut cunt asshole assholes dickhead wanker",
     "vulgar": "fuck fucking fucked fucker shit shitty bullshit crap damn piss",
-    "threat": "kill murder strangle stab shoot die hang",
+    "threat": "kill murder strangle stab lynch",
     "de": "idiotin arschloch arschlöcher scheiße scheiss dumm dummkopf trottel hurensohn schlampe abschaum wichser",
     "fr": "connard connards connasse salope salaud merde putain crétin crétins enculé imbécile débile ordure",
     "es": "idiota idiotas imbécil estúpido estúpida mierda puta puto cabrón gilipollas pendejo basura escoria",
