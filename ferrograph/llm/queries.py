@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrograph.llm import decontaminate, languages, quality, toxicity
+from ferrograph.llm import decontaminate, jaccard, languages, quality, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,3 +44,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = languages.identify(docs.select("doc_id", "text"), *languages.train(docs))
     return rated.select("doc_id", "language", "languages", "shares", "segments")
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op4_ngram_jaccard_join"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+)
+SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
+FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+WHERE c >= 0.75 * (x.n + y.n - c)
+"""
