@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrograph.llm import decontaminate, jaccard, languages, quality, toxicity
+from ferrograph.llm import decontaminate, jaccard, languages, linededup, mixing, quality, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,3 +64,15 @@ SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
 FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
 WHERE c >= 0.75 * (x.n + y.n - c)
 """
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_lines(docs)
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "n_tokens", "rate", "copies")
