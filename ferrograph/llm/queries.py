@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ferrograph.llm import decontaminate, jaccard, languages, linededup, mixing, quality, toxicity
+from ferrograph.llm import captures, decontaminate, jaccard, languages, linededup, mixing, preferences, quality, tokencount, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,3 +77,65 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "n_tokens", "rate", "copies")
+
+
+@query
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = captures.build(pages)
+    found = captures.lookup(index, pages.select(captures.url_key(F.col("url")).alias("key")))
+    return found.select("page_id", "url", "url_key", F.length("html").cast("long").alias("html_chars"), F.md5("html").alias("html_md5"))
+
+
+ORACLE_SQL["op6_warc_index"] = r"""
+WITH parts AS (
+  SELECT page_id, url, html, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?', ['host', 'port', 'path', 'query']) AS p
+  FROM pages WHERE url IS NOT NULL
+)
+SELECT page_id, url, array_to_string(list_reverse(string_split(lower(p.host), '.')), ',') || ')' || p.port || p.path || p.query AS url_key,
+  CAST(length(html) AS BIGINT) AS html_chars, md5(html) AS html_md5
+FROM parts
+"""
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_redacted(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query
+def op10_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preferences.conversations(table(spark, sf_dir, "conversations"))
+    return preferences.format_pairs(preferences.lent_pairs(convs))
+
+
+ORACLE_SQL["op10_preference_formatting"] = r"""
+WITH convs AS (
+  SELECT conv_id AS conv, list({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), answers AS (
+  SELECT conv, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last_turn FROM convs
+), lent AS (
+  SELECT conv, turns, last_turn, coalesce(lead(conv) OVER w, first(conv) OVER v) AS other, coalesce(lead(turns[last_turn]) OVER w, first(turns[last_turn]) OVER v) AS answer
+  FROM answers WHERE last_turn IS NOT NULL
+  WINDOW w AS (PARTITION BY conv // 1024 ORDER BY conv), v AS (PARTITION BY conv // 1024 ORDER BY conv ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), pairs AS (
+  SELECT conv AS chosen_id, other AS rejected_id, turns AS chosen, list_append(turns[1:last_turn - 1], answer) AS rejected FROM lent
+), cut AS (
+  SELECT *, list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 2), lambda i: i > len(chosen) OR i > len(rejected) OR chosen[i] <> rejected[i])) - 1 AS n FROM pairs
+), parts AS (
+  SELECT chosen_id, rejected_id, n, chosen[1:n] AS shared, chosen[n + 1:] AS c, rejected[n + 1:] AS r FROM cut
+), ends AS (
+  SELECT *, list_transform(range(1, len(c) + 1), lambda i: list_sum(list_transform(c[1:i], lambda t: length(t.role) + length(t.text) + 13))) AS ce,
+    list_transform(range(1, len(r) + 1), lambda i: list_sum(list_transform(r[1:i], lambda t: length(t.role) + length(t.text) + 13))) AS re FROM parts
+), out AS (
+  SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS prompt_turns,
+    array_to_string(list_transform(shared, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS prompt,
+    array_to_string(list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS chosen,
+    array_to_string(list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS rejected,
+    array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: CAST(CAST(ce[i] AS BIGINT) - length(c[i].text) - 8 AS VARCHAR) || '-' || CAST(CAST(ce[i] AS BIGINT) - 1 AS VARCHAR)), ',') AS chosen_mask,
+    array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: CAST(CAST(re[i] AS BIGINT) - length(r[i].text) - 8 AS VARCHAR) || '-' || CAST(CAST(re[i] AS BIGINT) - 1 AS VARCHAR)), ',') AS rejected_mask
+  FROM ends
+)
+SELECT *, chosen_mask <> '' AND rejected_mask <> '' AS usable FROM out
+"""
