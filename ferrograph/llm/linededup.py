@@ -146,7 +146,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lead
     lines = line_rows(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")), lead)
     found = drops(lines, lead, similar, min_docs).select(F.col("key").alias(key), F.col("number").alias(number))
     found = staged(found.groupBy(key).agg(F.collect_set(number).alias(gone)), "lines")
-    joined = docs.withColumn(key, F.xxhash64(text)).join(found, key, "left")
+    joined = docs.withColumn(key, F.xxhash64(text)).join(found.hint("merge"), key, "left")  # one plan at every size: as many texts are shuffled as there are, and no list grows in memory
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
     new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
     columns = [new.alias(n) if n == text else F.col(n) for n in names]
