@@ -3,8 +3,9 @@
 The distance 1 - J is a metric, but unrelated documents are all at distance 1 from each other, and then no pivot tells them
 apart. So the pivots are documents that others share something with: in each bucket of documents that have a gram in common
 among their first |s| - ceil(t |s|) + 1 grams (in one order of all grams; two documents with J >= t always share one such), the
-document with the smallest key is the pivot of all others. The distinct documents of a pivot are its region, so every pair lies
-in one region at least. A region over ``MAX_REGION`` documents is divided by pivots of its own: each document goes to
+document with the smallest key is the pivot of all others, by classes of size, as sizes of similar sets have a ratio of t at
+least. The distinct documents of a pivot and class are a region, so every pair lies in one region at least. Documents that can't
+be similar to any other of their region, by counts of their grams in a few cells, leave it before whole sets are sent. A region over ``MAX_REGION`` documents is divided by pivots of its own: each document goes to
 the Voronoi cell of its nearest pivot, and to the cell of each pivot p with d(x, p) <= d(x, nearest) + 2 r, for r = 1 - t, so
 that both documents of a pair are in some cell together. Executors divide regions further in the same way, until pairs are
 compared one with another, where |d(x, p) - d(y, p)| <= r doesn't rule them out. Nothing is approximate or capped.
@@ -20,7 +21,7 @@ itself. Each pair comes once, the smaller id first, and has the largest of its r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ MAX_REGION = 3000
 PIVOTS = 12
 LEAF = 48
 #: Up to so many keys, the executors get the list of the sets that are in some region, and send no others.
-MAX_LISTED = 2_000_000
+MAX_LISTED = 8_000_000
+#: Regions up to this size are thinned out by signatures before whole sets are sent.
+PLAUSIBLE_REGION = 4000
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> Iterator[np.ndarray]:
@@ -72,6 +75,23 @@ def prefix_length(n: int, t: float) -> int:
     return n - int(np.ceil(t * n - 1e-9)) + 1
 
 
+def size_class(n: int, t: float) -> int:
+    """Sets of sizes in a ratio of t at least are of one class or of neighbouring ones."""
+    return int(np.floor(np.log(n) / -np.log(min(t, 0.95)) + 1e-9))
+
+
+def cells(level: int, t: float) -> int:
+    """Number of cells of the signatures that are compared in a region of this class: a power of two, about four grams to a cell."""
+    return 1 << max(5, int(np.ceil(np.log2(min(t, 0.95) ** -level / 4))))
+
+
+def signature(own: np.ndarray, level: int, t: float) -> bytes | None:
+    """How many grams fall into each cell, one byte each; None where a byte doesn't do."""
+    m = cells(level, t)
+    n = np.bincount((own >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
 def frequent(docs: DataFrame, n: int, share: float) -> np.ndarray:
     """Grams of which some batch has many, rarest first."""
 
@@ -111,20 +131,23 @@ class Order:
 
 
 def bucket_rows(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
+    """(gram, key, size class) of the first grams of all documents; sizes that can be similar are of one class or of neighbouring ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in grams.chunks(batch.column("text")):
-                g, keys, size = [], [], []
+                g, keys, size, whole = [], [], [], []
                 for own in gram_sets(data, off, n):
                     if len(own):
                         some = order.first(own, prefix_length(len(own), t))
                         g.append(some)
                         keys.append(set_key(own))
                         size.append(len(some))
+                        whole.append(len(own))
                 if g:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), size))], names=["gram", "key"])
+                    level = np.array([size_class(x, t) for x in whole], np.int16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(np.repeat(level, size))], names=["gram", "key", "level"])
 
-    return docs.select("text").mapInArrow(run, "gram long, key long")
+    return docs.select("text").mapInArrow(run, "gram long, key long, level short")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -147,20 +170,30 @@ def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
 
 
 def star_edges(rows: DataFrame) -> DataFrame:
-    """(pivot, key) of all buckets."""
+    """(pivot, level, key) of all buckets: documents with a gram in common, of one size class and the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "gram"):
-            g, key = table["gram"].to_numpy(), table["key"].to_numpy()
+            g, key, level = (table[c].to_numpy() for c in ("gram", "key", "level"))
             first = np.append(True, g[1:] != g[:-1])
+            many = np.diff(np.append(np.flatnonzero(first), len(g))) > 1
+            group = np.cumsum(first) - 1
+            some = many[group]
+            if not some.any():
+                continue
+            group, key, level = (np.concatenate([x[some]] * 2) for x in (group, key, level.astype(np.int64)))
+            level[len(level) // 2 :] -= 1
+            order = np.lexsort((level, group))
+            group, key, level = group[order], key[order], level[order]
+            first = np.append(True, (group[1:] != group[:-1]) | (level[1:] != level[:-1]))
             lead = np.minimum.reduceat(key, np.flatnonzero(first))[np.cumsum(first) - 1]
             far = lead != key
             if far.any():
-                pairs = np.unique(np.stack([lead[far], key[far]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "key"])
+                pairs = np.unique(np.stack([lead[far], level[far], key[far]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int16)), pa.array(pairs[:, 2])], names=["pivot", "level", "key"])
 
     sorted_rows = rows.repartition("gram").sortWithinPartitions("gram")
-    return sorted_rows.mapInArrow(run, "pivot long, key long").distinct()
+    return sorted_rows.mapInArrow(run, "pivot long, level short, key long").distinct()
 
 
 class Listed:
@@ -174,9 +207,9 @@ class Listed:
         return at < len(self.keys) and int(self.keys[at]) == key
 
 
-def keyed(docs: DataFrame, listed: Listed, n: int) -> DataFrame:
-    """(id, key, grams) of every document that has grams; ``grams`` is null where no region has the key."""
-    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("grams", T.BinaryType())])
+def keyed(docs: DataFrame, listed: Listed, n: int, value: str, of: Callable[[np.ndarray], bytes | None], every: bool) -> DataFrame:
+    """(id, key, class, value) of the documents that have grams, with a value where the key is listed; others only if ``every``."""
+    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField(value, T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +217,50 @@ def keyed(docs: DataFrame, listed: Listed, n: int) -> DataFrame:
             for lo, hi, data, off in grams.chunks(batch.column("text")):
                 own = list(gram_sets(data, off, n))
                 keys = np.array([set_key(x) if len(x) else 0 for x in own], np.int64)
-                some = [x.tobytes() if k and listed.has(k) else None for x, k in zip(own, keys.tolist(), strict=True)]
-                columns = [batch.column("id").slice(lo, hi - lo), pa.array(keys), pa.array(some, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow).filter(pa.array(keys != 0))
+                has = np.array([bool(k) and listed.has(k) for k in keys.tolist()])
+                some = [of(x) if h else None for x, h in zip(own, has.tolist(), strict=True)]
+                columns = [batch.column("id").slice(lo, hi - lo), pa.array(keys), pa.array([len(x) for x in own]), pa.array(some, pa.binary())]
+                rows = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                yield rows.filter(pa.array((keys != 0) if every else has))
 
     return docs.mapInArrow(run, schema)
 
 
+def plausible(rows: DataFrame, t: float, most: int) -> DataFrame:
+    """(region, key) of those that may be similar to another of their region: |x & y| is at most the sum over cells of the smaller count.
+
+    rows: (region, level, key, size, cells). In a region over ``most`` documents all stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "region"):
+            region, key, size = (table[c].to_numpy() for c in ("region", "key", "size"))
+            level, counts = table["level"].to_numpy(), table["cells"].combine_chunks()
+            first = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
+            good = np.zeros(len(region), bool)
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                k = hi - lo
+                if k < 2:
+                    continue
+                own = [counts[j].as_buffer() if counts[j].is_valid else None for j in range(lo, hi)]
+                if k > most or any(x is None for x in own):
+                    good[lo:hi] = True
+                    continue
+                m = cells(int(level[lo]), t)
+                rows = np.array([np.frombuffer(x, np.uint8).reshape(m, -1).sum(1, dtype=np.int32) for x in own])
+                n = size[lo:hi]
+                for i in range(k - 1):
+                    apart = np.abs(rows[i + 1 :] - rows[i]).sum(1)
+                    near = np.flatnonzero(apart <= (n[i + 1 :] + n[i]) * (1 - t) / (1 + t) + 1e-6)
+                    if len(near):
+                        good[lo + i] = True
+                        good[lo + i + 1 + near] = True
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(region[good]), pa.array(key[good])], names=["region", "key"])
+
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, key long")
+
+
 class Region:
     """Some sets, with their grams numbered."""
 
@@ -329,15 +399,22 @@ def divide(members: DataFrame, sets: DataFrame, t: float, most: int) -> DataFram
 def key_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, share: float = FREQUENT, max_region: int = MAX_REGION) -> tuple[DataFrame, DataFrame]:
     """``(id, key)`` of the documents that have grams, and ``(key_a, key_b, jaccard)`` of the similar pairs of different keys. docs: (id, text)."""
     texts = docs.filter(F.col("text").isNotNull() & F.col("id").isNotNull())
+    region = F.xxhash64("pivot", "level").alias("region")
     edges = staged(star_edges(bucket_rows(texts, Order(frequent(texts, n, share)), n, t)), "edges")
-    needed = edges.select(F.col("pivot").alias("key")).union(edges.select("key")).distinct()
-    count = needed.count()
-    listed = Listed(needed.toPandas()["key"].to_numpy(np.int64) if count <= MAX_LISTED else None)
-    rows = staged(keyed(texts, listed, n), "sets")
-    sets = rows.filter(F.col("grams").isNotNull()).select("key", "grams").dropDuplicates(["key"])
-    members = edges.select(F.col("pivot").alias("region"), "key").union(edges.select("pivot", F.col("pivot").alias("key")).distinct())
+    members = edges.select(region, "level", "key").union(edges.select(region, "level", F.col("pivot").alias("key")).distinct())
+    ids = staged(keyed(texts, listed(members), n, "cells", lambda x: signature(x, size_class(len(x), t), t), every=True), "ids")
+    coarse = ids.filter(F.col("size").isNotNull()).select("key", "size", "cells").dropDuplicates(["key"])
+    members = staged(plausible(members.join(coarse, "key"), t, PLAUSIBLE_REGION), "members")
+    sets = keyed(texts, listed(members), n, "grams", np.ndarray.tobytes, every=False).select("key", "grams").dropDuplicates(["key"])
+    sets = staged(sets.join(members.select("key").distinct(), "key", "left_semi"), "sets")
     members = divide(members, sets, t, max_region)
-    return rows.select("id", "key"), staged(region_pairs(members.join(sets, "key"), t), "pairs")
+    return ids.select("id", "key"), staged(region_pairs(members.join(sets, "key"), t), "pairs")
+
+
+def listed(members: DataFrame) -> Listed:
+    """The keys of all members, if they aren't too many to be sent to every executor."""
+    keys = members.select("key").distinct()
+    return Listed(keys.toPandas()["key"].to_numpy(np.int64) if keys.count() <= MAX_LISTED else None)
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, share: float = FREQUENT, max_region: int = MAX_REGION) -> DataFrame:
