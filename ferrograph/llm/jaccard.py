@@ -1,18 +1,21 @@
 """Exact Jaccard self-join of documents' word n-gram sets by pivots, Voronoi regions and triangle-inequality windows.
 
 The distance 1 - J is a metric, but unrelated documents are all at distance 1 from each other, and then no pivot tells them
-apart. So the pivots are documents that others share something with: in each bucket of documents that have a gram in common
-among their first |s| - ceil(t |s|) + 1 grams (in one order of all grams; two documents with J >= t always share one such), the
-document with the smallest key is the pivot of all others, by classes of size, as sizes of similar sets have a ratio of t at
-least. The distinct documents of a pivot and class are a region, so every pair lies in one region at least. Documents that can't
-be similar to any other of their region, by counts of their grams in a few cells, leave it before whole sets are sent. A region over ``MAX_REGION`` documents is divided by pivots of its own: each document goes to
-the Voronoi cell of its nearest pivot, and to the cell of each pivot p with d(x, p) <= d(x, nearest) + 2 r, for r = 1 - t, so
-that both documents of a pair are in some cell together. Executors divide regions further in the same way, until pairs are
-compared one with another, where |d(x, p) - d(y, p)| <= r doesn't rule them out. Nothing is approximate or capped.
-
-Any order of grams gives the same pairs. Here grams that are in more than ``FREQUENT`` of the documents of some Arrow batch come
-last, rarest first, so that passages which many documents share don't make buckets; there are at most (grams a document) /
-``FREQUENT`` of them, whatever the corpus. Documents with equal sets count as one until the end.
+apart. So the pivots are documents that others share something with. The range of gram hashes is cut into parts; in how many
+parts two sets of n and m grams can differ is at most (1 - t) / (1 + t) (n + m), as each such part holds a gram of one set alone.
+A set is keyed by all parts that it uses, with their grams, so it has as many keys more than that in common with any similar set.
+(Sets that use fewer parts share one key besides; the number of parts goes by powers of two of the smaller set's size, and sets
+just above one are keyed for both.) Documents that share fewer keys with all others together have no partner and go. Of the
+keys of the others, the rarest suffice by which a document must still meet each partner. In each bucket of
+documents with a part in common the document with the smallest key is the pivot of all others. The distinct documents of a
+pivot are its region, so every pair lies in one region at least. Documents that can't be similar to any other of their region,
+by counts of their grams in a few cells, leave it before whole sets are sent. A region over ``MAX_REGION`` documents is divided
+by pivots of its own: each document goes to the Voronoi cell of its nearest pivot, and to the cell of each pivot p with d(x, p)
+<= d(x, nearest) + 2 r, for r = 1 - t, so that both documents of a pair are in some cell together. Executors divide regions
+further in the same way, until pairs are compared one with another, where |d(x, p) - d(y, p)| <= r doesn't rule them out.
+Nothing is approximate or capped.
+
+Documents with equal sets count as one until the end.
 
 Defined cases: a text with fewer than n words has its words together as its only gram; a null text or one without words has no
 gram and is in no pair. Rows with a null id are in no pair. Rows with the same id are one document, which is in no pair with
@@ -36,8 +39,9 @@ from ferrograph.llm.frames import free, staged
 
 N = 2
 THRESHOLD = 0.75
-FREQUENT = 1 / 1000
 MAX_REGION = 3000
+#: Grams to a part, at most.
+PART_GRAMS = 2.0
 PIVOTS = 12
 LEAF = 48
 #: Up to so many keys, the executors get the list of the sets that are in some region, and send no others.
@@ -71,83 +75,95 @@ def set_key(own: np.ndarray) -> int:
     return int((key | np.uint64(1)).astype(np.int64)[0])
 
 
-def prefix_length(n: int, t: float) -> int:
-    return n - int(np.ceil(t * n - 1e-9)) + 1
+def part_count(cls: int, t: float) -> int:
+    """Number of parts for pairs whose smaller set has 2**cls to 2**(cls + 1) - 1 grams: about two grams to a part at most."""
+    return 1 << 12 if cls < 6 else int(np.ceil((2 << cls) / t / PART_GRAMS))
 
 
-def size_class(n: int, t: float) -> int:
-    """Sets of sizes in a ratio of t at least are of one class or of neighbouring ones."""
-    return int(np.floor(np.log(n) / -np.log(min(t, 0.95)) + 1e-9))
-
-
-def cells(level: int, t: float) -> int:
-    """Number of cells of the signatures that are compared in a region of this class: a power of two, about four grams to a cell."""
-    return 1 << max(5, int(np.ceil(np.log2(min(t, 0.95) ** -level / 4))))
-
-
-def signature(own: np.ndarray, level: int, t: float) -> bytes | None:
-    """How many grams fall into each cell, one byte each; None where a byte doesn't do."""
-    m = cells(level, t)
+def part_keys(own: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray, int]]:
+    """For each class of pairs that a set can be in: the class, the keys of all parts that it uses, and how many of these it shares with any similar set at least."""
+    n = len(own)
+    top = n.bit_length() - 1
+    mixed = grams.mix(own ^ np.uint64(0xFEDCBA))
+    for cls, partner in ((top, n / t), (top - 1, (1 << top) - 1)):
+        if cls < 0 or (cls < top and t * n >= 1 << top):
+            continue
+        differ = int(np.floor((1 - t) / (1 + t) * (n + partner) + 1e-9))
+        part = ((own >> np.uint64(32)) * np.uint64(part_count(cls, t))) >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        key = grams.mix(np.add.reduceat(mixed, first) ^ grams.mix(part[first] * np.uint64(64) + np.uint64(cls)))
+        if len(first) <= differ:
+            key = np.append(key, grams.mix(np.array([cls + 1], np.uint64)))
+        yield cls, key, max(1, len(first) - differ)
+
+
+def signature(own: np.ndarray) -> bytes | None:
+    """How many grams fall into each of about n / 4 cells, one byte each; None where a byte doesn't do."""
+    m = 1 << max(5, (len(own) // 4).bit_length())
     n = np.bincount((own >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m)
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
-def frequent(docs: DataFrame, n: int, share: float) -> np.ndarray:
-    """Grams of which some batch has many, rarest first."""
+def bucket_rows(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(part, key, note) of all documents; the note has the class, and in one row for each class, under a part of its own, the number of parts to share."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = max(4, int(np.ceil(share * batch.num_rows)))
-            parts = [own for _, _, data, off in grams.chunks(batch.column("text")) for own in gram_sets(data, off, n)]
-            if parts:
-                every = np.sort(np.concatenate(parts))
-                first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-                many = np.diff(np.append(first, len(every)))
-                k = many >= least
-                yield pa.RecordBatch.from_arrays([pa.array(every[first[k]].astype(np.int64)), pa.array(many[k])], names=["gram", "n"])
-
-    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    found = found.sort_values(["n", "gram"])
-    return found["gram"].to_numpy(np.int64).astype(np.uint64)
-
-
-class Order:
-    """First grams of a set: those that aren't frequent by their hash, then the frequent ones, rarest first."""
-
-    def __init__(self, late: np.ndarray):
-        self.sorted = np.sort(late)
-        self.rank = np.argsort(late)
-
-    def first(self, own: np.ndarray, k: int) -> np.ndarray:
-        if not len(self.sorted):
-            return own[:k]
-        at = np.minimum(np.searchsorted(self.sorted, own), len(self.sorted) - 1)
-        is_late = self.sorted[at] == own
-        early = own[~is_late]
-        if len(early) >= k:
-            return early[:k]
-        late, by = own[is_late], self.rank[at[is_late]]
-        return np.concatenate([early, late[np.argsort(by)][: k - len(early)]])
-
-
-def bucket_rows(docs: DataFrame, order: Order, n: int, t: float) -> DataFrame:
-    """(gram, key, size class) of the first grams of all documents; sizes that can be similar are of one class or of neighbouring ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in grams.chunks(batch.column("text")):
-                g, keys, size, whole = [], [], [], []
+                parts, keys, notes, size = [], [], [], []
                 for own in gram_sets(data, off, n):
                     if len(own):
-                        some = order.first(own, prefix_length(len(own), t))
-                        g.append(some)
-                        keys.append(set_key(own))
-                        size.append(len(some))
-                        whole.append(len(own))
-                if g:
-                    level = np.array([size_class(x, t) for x in whole], np.int16)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(np.repeat(level, size))], names=["gram", "key", "level"])
-
-    return docs.select("text").mapInArrow(run, "gram long, key long, level short")
+                        whole = set_key(own)
+                        for cls, part, least in part_keys(own, t):
+                            alone = grams.mix(np.array([whole ^ cls], np.int64).astype(np.uint64))
+                            parts += [part, alone]
+                            keys += [whole, whole]
+                            notes += [cls << 32, cls << 32 | least]
+                            size += [len(part), 1]
+                if parts:
+                    columns = [np.concatenate(parts).astype(np.int64), np.repeat(np.array(keys, np.int64), size), np.repeat(np.array(notes, np.int64), size)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "note"])
+
+    return docs.select("text").mapInArrow(run, "part long, key long, note long")
+
+
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of each run of equal rows, and the run of each row."""
+    first = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def shared_parts(rows: DataFrame) -> DataFrame:
+    """(part, key) of the documents that share as many parts as a similar pair must: of each, only as many as are needed for it to meet any similar one, the rarest."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "part"):
+            part, key, note = (table[c].to_numpy() for c in ("part", "key", "note"))
+            order = np.lexsort((key, part))
+            part, key, note = part[order], key[order], note[order]
+            once, _ = runs(part, key)
+            part, key, note = part[once], key[once], note[once]
+            begin, group = runs(part)
+            many = np.diff(np.append(begin, len(part)))[group]
+            keep = (many > 1) | (note & 0xFFFFFFFF > 0)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (part, key, note, many)], names=["part", "key", "note", "many"])
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "key"):
+            part, key, note, many = (table[c].to_numpy() for c in ("part", "key", "note", "many"))
+            cls, least = note >> 32, note & 0xFFFFFFFF
+            order = np.lexsort((part, many, least == 0, cls, key))  # what to share first, then parts, rarest first
+            part, key, cls, least = part[order], key[order], cls[order], least[order]
+            begin, group = runs(key, cls)
+            count = np.diff(np.append(begin, len(key))) - 1
+            place = np.arange(len(key)) - begin[group] - 1
+            keep = (least == 0) & (place < (count - least[begin] + 1)[group])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(key[keep])], names=["part", "key"])
+
+    some = rows.repartition("part").sortWithinPartitions("part").mapInArrow(shared, "part long, key long, note long, many long")
+    return some.repartition("key").sortWithinPartitions("key").mapInArrow(enough, "part long, key long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -170,30 +186,19 @@ def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
 
 
 def star_edges(rows: DataFrame) -> DataFrame:
-    """(pivot, level, key) of all buckets: documents with a gram in common, of one size class and the next."""
+    """(pivot, key) of all buckets: documents that have a part in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "gram"):
-            g, key, level = (table[c].to_numpy() for c in ("gram", "key", "level"))
-            first = np.append(True, g[1:] != g[:-1])
-            many = np.diff(np.append(np.flatnonzero(first), len(g))) > 1
-            group = np.cumsum(first) - 1
-            some = many[group]
-            if not some.any():
-                continue
-            group, key, level = (np.concatenate([x[some]] * 2) for x in (group, key, level.astype(np.int64)))
-            level[len(level) // 2 :] -= 1
-            order = np.lexsort((level, group))
-            group, key, level = group[order], key[order], level[order]
-            first = np.append(True, (group[1:] != group[:-1]) | (level[1:] != level[:-1]))
+        for table in groups(batches, "part"):
+            part, key = table["part"].to_numpy(), table["key"].to_numpy()
+            first = np.append(True, part[1:] != part[:-1])
             lead = np.minimum.reduceat(key, np.flatnonzero(first))[np.cumsum(first) - 1]
             far = lead != key
             if far.any():
-                pairs = np.unique(np.stack([lead[far], level[far], key[far]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int16)), pa.array(pairs[:, 2])], names=["pivot", "level", "key"])
+                pairs = np.unique(np.stack([lead[far], key[far]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "key"])
 
-    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram")
-    return sorted_rows.mapInArrow(run, "pivot long, level short, key long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "pivot long, key long").distinct()
 
 
 class Listed:
@@ -229,13 +234,13 @@ def keyed(docs: DataFrame, listed: Listed, n: int, value: str, of: Callable[[np.
 def plausible(rows: DataFrame, t: float, most: int) -> DataFrame:
     """(region, key) of those that may be similar to another of their region: |x & y| is at most the sum over cells of the smaller count.
 
-    rows: (region, level, key, size, cells). In a region over ``most`` documents all stay.
+    rows: (region, key, size, cells). In a region over ``most`` documents all stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "region"):
             region, key, size = (table[c].to_numpy() for c in ("region", "key", "size"))
-            level, counts = table["level"].to_numpy(), table["cells"].combine_chunks()
+            counts = table["cells"].combine_chunks()
             first = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
             good = np.zeros(len(region), bool)
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -246,7 +251,7 @@ def plausible(rows: DataFrame, t: float, most: int) -> DataFrame:
                 if k > most or any(x is None for x in own):
                     good[lo:hi] = True
                     continue
-                m = cells(int(level[lo]), t)
+                m = min(len(x) for x in own)
                 rows = np.array([np.frombuffer(x, np.uint8).reshape(m, -1).sum(1, dtype=np.int32) for x in own])
                 n = size[lo:hi]
                 for i in range(k - 1):
@@ -396,13 +401,12 @@ def divide(members: DataFrame, sets: DataFrame, t: float, most: int) -> DataFram
     return members if done is None else done.unionByName(members)
 
 
-def key_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, share: float = FREQUENT, max_region: int = MAX_REGION) -> tuple[DataFrame, DataFrame]:
+def key_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> tuple[DataFrame, DataFrame]:
     """``(id, key)`` of the documents that have grams, and ``(key_a, key_b, jaccard)`` of the similar pairs of different keys. docs: (id, text)."""
     texts = docs.filter(F.col("text").isNotNull() & F.col("id").isNotNull())
-    region = F.xxhash64("pivot", "level").alias("region")
-    edges = staged(star_edges(bucket_rows(texts, Order(frequent(texts, n, share)), n, t)), "edges")
-    members = edges.select(region, "level", "key").union(edges.select(region, "level", F.col("pivot").alias("key")).distinct())
-    ids = staged(keyed(texts, listed(members), n, "cells", lambda x: signature(x, size_class(len(x), t), t), every=True), "ids")
+    edges = staged(star_edges(shared_parts(bucket_rows(texts, n, t))), "edges")
+    members = edges.select(F.col("pivot").alias("region"), "key").union(edges.select("pivot", F.col("pivot").alias("key")).distinct())
+    ids = staged(keyed(texts, listed(members), n, "cells", signature, every=True), "ids")
     coarse = ids.filter(F.col("size").isNotNull()).select("key", "size", "cells").dropDuplicates(["key"])
     members = staged(plausible(members.join(coarse, "key"), t, PLAUSIBLE_REGION), "members")
     sets = keyed(texts, listed(members), n, "grams", np.ndarray.tobytes, every=False).select("key", "grams").dropDuplicates(["key"])
@@ -417,9 +421,9 @@ def listed(members: DataFrame) -> Listed:
     return Listed(keys.toPandas()["key"].to_numpy(np.int64) if keys.count() <= MAX_LISTED else None)
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, share: float = FREQUENT, max_region: int = MAX_REGION) -> DataFrame:
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
     """All pairs ``doc_a < doc_b`` with ``jaccard`` >= t."""
-    ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, share, max_region)
+    ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
     lists = ids.groupBy("key").agg(F.collect_set("id").alias("ids"))
     a, b = lists.select(F.col("key").alias("key_a"), F.col("ids").alias("a")), lists.select(F.col("key").alias("key_b"), F.col("ids").alias("b"))
     crossed = pairs.join(a, "key_a").join(b, "key_b").select("a", "b", "jaccard")
@@ -442,9 +446,9 @@ def components(pairs: DataFrame) -> DataFrame:
         label = new
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, share: float = FREQUENT, max_region: int = MAX_REGION) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
     """``docs`` without those that are linked by similar pairs to a document with a smaller id. Rows without grams or id stay, and rows of one id stay or go together."""
-    ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, share, max_region)
+    ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
     grouped = ids.join(components(pairs), "key", "left").select("id", F.coalesce("group", "key").alias("group"))
     best = grouped.groupBy("group").agg(F.min("id").alias("best"), F.count_distinct("id").alias("n")).filter(F.col("n") > 1)
     name = free(docs.columns, "gone")
