@@ -42,6 +42,8 @@ THRESHOLD = 0.75
 MAX_REGION = 3000
 #: Grams to a part, at most.
 PART_GRAMS = 2.0
+#: Documents of a part are counted up to here, to tell rare parts from common ones.
+MOST_COUNTED = 1 << 20
 PIVOTS = 12
 LEAF = 48
 #: Up to so many keys, the executors get the list of the sets that are in some region, and send no others.
@@ -147,12 +149,13 @@ def shared_parts(rows: DataFrame) -> DataFrame:
             many = np.diff(np.append(begin, len(part)))[group]
             keep = (many > 1) | (note & 0xFFFFFFFF > 0)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (part, key, note, many)], names=["part", "key", "note", "many"])
+                note |= np.minimum(many, MOST_COUNTED) << 40
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (part, key, note)], names=["part", "key", "note"])
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "key"):
-            part, key, note, many = (table[c].to_numpy() for c in ("part", "key", "note", "many"))
-            cls, least = note >> 32, note & 0xFFFFFFFF
+            part, key, note = (table[c].to_numpy() for c in ("part", "key", "note"))
+            many, cls, least = note >> 40, note >> 32 & 0xFF, note & 0xFFFFFFFF
             order = np.lexsort((part, many, least == 0, cls, key))  # what to share first, then parts, rarest first
             part, key, cls, least = part[order], key[order], cls[order], least[order]
             begin, group = runs(key, cls)
@@ -162,7 +165,7 @@ def shared_parts(rows: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(key[keep])], names=["part", "key"])
 
-    some = rows.repartition("part").sortWithinPartitions("part").mapInArrow(shared, "part long, key long, note long, many long")
+    some = rows.repartition("part").sortWithinPartitions("part").mapInArrow(shared, "part long, key long, note long")
     return some.repartition("key").sortWithinPartitions("key").mapInArrow(enough, "part long, key long")
 
 
@@ -449,7 +452,9 @@ def components(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
     """``docs`` without those that are linked by similar pairs to a document with a smaller id. Rows without grams or id stay, and rows of one id stay or go together."""
     ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
-    grouped = ids.join(components(pairs), "key", "left").select("id", F.coalesce("group", "key").alias("group"))
+    several = ids.groupBy("id").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)  # texts of one id hang together
+    own = several.select(F.array_min("keys").alias("key_a"), F.explode("keys").alias("key_b")).filter("key_a != key_b")
+    grouped = ids.join(components(pairs.select("key_a", "key_b").unionByName(own)), "key", "left").select("id", F.coalesce("group", "key").alias("group"))
     best = grouped.groupBy("group").agg(F.min("id").alias("best"), F.count_distinct("id").alias("n")).filter(F.col("n") > 1)
     name = free(docs.columns, "gone")
     lost = grouped.join(best, "group").filter(F.col("id") != F.col("best")).select(F.col("id").alias(name)).distinct()
