@@ -6,8 +6,8 @@ it equals in most of the tokens after the leading ones, if that is ``SIMILAR`` o
 fields where they differ become variable; else it starts a template. Lines that can match are found by pieces of which one at
 least must be equal, so that a leaf takes about linear time.
 
-A template recurs if it is in ``MIN_DOCS`` documents at least, where documents of equal sketch (the smallest hash of their
-words) count as one: copies of whole documents are no evidence of boilerplate, and belong to near-duplicate removal. Of a
+A template recurs if it is in ``MIN_DOCS`` documents at least, where documents of equal sketch (the smallest hash of three
+of their words in a row) count as one: copies of whole documents are no evidence of boilerplate, and belong to near-duplicate removal. Of a
 recurring template the first line stays (by document id, then place) with the texts equal to its own; all others go.
 
 Lines travel once, sorted by leaf, and texts once, joined with the numbers of their dropped lines by a hash of the text.
@@ -38,6 +38,7 @@ from ferrograph.llm.jaccard import groups
 LEAD = 3
 SIMILAR = 0.75
 MIN_DOCS = 8
+SKETCH_WORDS = 3
 FIELD = "<*>"
 DIGIT = re.compile(r"\d")
 
@@ -92,9 +93,10 @@ def line_rows(docs: DataFrame, lead: int) -> DataFrame:
             for lo, hi, data, off in grams.chunks(batch.column("text")):
                 h, doc = grams.words(data, off)
                 sketch = np.zeros(hi - lo, np.int64)
-                begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
-                if len(doc):
-                    sketch[doc[begin]] = np.minimum.reduceat(h, begin).astype(np.int64)
+                for g, at in ((h, doc), grams.word_grams(h, doc, SKETCH_WORDS)):  # short texts have single words alone
+                    if len(at):
+                        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                        sketch[at[begin]] = np.minimum.reduceat(g, begin).astype(np.int64)
                 at, leaves, numbers, lines = [], [], [], []
                 for d, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist()):
                     for k, line in enumerate(text.split("\n")):
