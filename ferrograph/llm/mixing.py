@@ -53,7 +53,7 @@ class Rates:
     shares: dict
 
     def column(self, spark, tokens: Column) -> Column:
-        return self.slope * (F.log1p(tokens) - self.mean) / self.scale
+        return F.least(F.greatest(self.slope * (F.log1p(tokens) - self.mean) / self.scale, F.lit(-60.0)), F.lit(60.0))
 
 
 def solve(stats: DataFrame, weights: dict | None, temper: float = TEMPER) -> Rates:
@@ -91,7 +91,7 @@ def solve(stats: DataFrame, weights: dict | None, temper: float = TEMPER) -> Rat
     def sums(slope: float) -> np.ndarray:
         """Over each cell: tokens, tokens z and tokens z z, tilted by the slope."""
         z = (F.log1p("t") - mean) / scale
-        w = t * F.exp(slope * z) / total
+        w = t * F.exp(F.least(F.greatest(slope * z, F.lit(-60.0)), F.lit(60.0))) / total
         found = np.zeros((len(cells), 3))
         for r in stats.groupBy("source", "lang").agg(F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz")).collect():
             found[at[r["source"], r["lang"]]] = r["w"], r["wz"], r["wzz"]
@@ -99,6 +99,8 @@ def solve(stats: DataFrame, weights: dict | None, temper: float = TEMPER) -> Rat
 
     def dual(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         cell = sums(float(x[-1])) * np.where(out, 0, np.exp(np.clip(design @ x, -50, 50)))[:, None]
+        if not np.isfinite(cell).all():
+            return np.inf, target, np.eye(size)
         grad = design.T @ cell[:, 0] - target
         grad[-1] = cell[:, 1].sum() - target[-1]
         hess = (design * cell[:, :1]).T @ design
@@ -120,7 +122,7 @@ def solve(stats: DataFrame, weights: dict | None, temper: float = TEMPER) -> Rat
             break
         x = x - step * move
         value, grad, hess = new
-    shift = np.where(out, -np.inf, design @ x)
+    shift = np.where(out, -np.inf, np.clip(design @ x, -50, 50))
     return Rates(cells, shift, float(x[-1]), mean, scale, dict(zip(sources, aim.tolist(), strict=True)))
 
 

@@ -266,11 +266,9 @@ def fit_label_model(v: np.ndarray, weight: np.ndarray, steps: int = 40, dependen
     m = v.shape[1]
     up, down = (v == 2).sum(1), (v == 1).sum(1)
     q = np.where(up > down, 0.9, np.where(up < down, 0.05, 0.3))
-    parent, order = [-1] * m, list(range(m))
+    parent, order = tree(v, weight, q, dependent)  # before two voters that copy each other can pass for the class
     model = None
-    for step in range(steps):
-        if step == steps // 3:
-            parent, order = tree(v, weight, q, dependent)
+    for _ in range(steps):
         prior, table = tables(v, weight, q, parent)
         model = LabelModel(prior, parent, order, table)
         q = model.posterior(v)
@@ -366,6 +364,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     y = np.array([r[1] for r in chosen])
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
     w, b = linear.fit(presence([r[0] for r in chosen]), y, weight, 1 << BITS, steps=120, rate=0.1, l1=L1, l2=1e-6, least_rows=3)
+    if not w.any():
+        return none
     return Model(own, model, w.astype(np.float32), b + float(np.log(toxic / max(1.0, n.sum() - toxic))))  # the classes weighed alike in the fit
 
 

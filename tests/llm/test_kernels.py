@@ -17,7 +17,7 @@ def chunk(texts):
 def corpus(spark):
     """Three hundred short texts in two made-up languages, some of them shouted, some abusive."""
     rng = random.Random(5)
-    a, b = "the house green tree walks over old stones with".split(), "der baum grün läuft über alte steine mit haus".split()
+    a, b = ([x + y for x in s.split() for y in "ab er in on us el it an".split()] for s in ("the house green tree walks over old stones with", "der baum grün läuft über alte steine mit haus"))
     docs, labels = [], []
     for k in range(300):
         words = [rng.choice(a if k % 2 else b) for _ in range(rng.randint(12, 60))]
@@ -113,7 +113,8 @@ def test_label_model_finds_the_good_voter():
     v = np.where(np.stack([good, fair, copy, np.where(rng.random(4000) < 0.75, y, ~y)], 1), 2, 1)
     model = toxicity.fit_label_model(v, np.ones(4000), steps=60)
     assert model.parent[2] == 1 or model.parent[1] == 2  # the copy is told apart from a second opinion
-    assert np.mean((model.posterior(v) > 0.5) == y) > 0.9
+    majority = (v == 2).sum(1) > 2
+    assert np.mean((model.posterior(v) > 0.5) == y) > max(0.85, np.mean(majority == y))
 
 
 def test_toxicity_of_odd_rows(spark, corpus):
@@ -135,7 +136,7 @@ def test_languages_and_mixtures(spark, corpus):
     docs, _ = corpus
     names, table = languages.train(docs)
     assert names == ["de", "en"]
-    en, de = "the green house walks over old stones with the tree " * 12, "der alte baum läuft über steine mit haus und haus " * 4
+    en, de = "theab greener housein walkson overus oldel stonesit withan theer treeab " * 12, "derab alteer baumin läufton überus steineel mitit hausan derer baumab " * 4
     rows = spark.createDataFrame([(1, en), (2, de), (3, en + de), (4, None), (5, "?!"), (6, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in languages.identify(rows, names, table).collect()}
     assert (got[1].languages, got[2].language) == (["en"], "de")
