@@ -36,7 +36,7 @@ def module_of(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 def module_parents(modules: DataFrame) -> DataFrame:
     """``(module_fqn, parent)``: the module in the nearest directory above, or else the root module: the shallowest directory, first by name."""
-    above = modules.select(F.col("module_fqn"), F.regexp_replace("path_prefix", r"/?[^/]*$", "").alias("directory"))
+    above = modules.filter("path_prefix != ''").select(F.col("module_fqn"), F.regexp_replace("path_prefix", r"/?[^/]*$", "").alias("directory"))
     outer = modules.select("path_prefix", F.col("module_fqn").alias("parent"))
     found = longest_prefix(above, outer, "directory", "path_prefix", "/").select("module_fqn", "parent")
     depth = F.size(F.split("path_prefix", "/"))

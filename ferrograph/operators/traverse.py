@@ -29,11 +29,15 @@ def closure(edges: DataFrame, edge_types: Sequence[str] = SUPER, rev: bool = Fal
     """
     spark = edges.sparkSession
     steps = links(edges, edge_types, rev) if whole is None else whole
+    safe = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None)
+    if safe:
+        steps = steps.checkpoint()  # every step joins them; what they come from isn't computed again
     front = steps.select(F.col("a").alias("start"), F.col("b").alias("reached")).filter("start != reached")
     if starts is not None:
         front = front.join(starts.select(F.col("fqn").alias("start")).distinct(), "start", "left_semi")
+    if safe:
+        front = front.checkpoint()
     seen = front.withColumn("depth", F.lit(1))
-    safe = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None)
     for depth in range(2, max_depth + 1):
         front = front.join(steps, F.col("reached") == F.col("a")).select("start", F.col("b").alias("reached")).filter("start != reached").distinct().join(seen, ["start", "reached"], "left_anti")
         if safe:

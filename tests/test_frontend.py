@@ -21,9 +21,9 @@ FILES = {
 @pytest.fixture(scope="module")
 def project(spark):
     files = spark.createDataFrame(list(FILES.items()), "path string, content string")
-    g = java.index(java.parse_files(files))
+    g = java.index(java.parse_files(files).checkpoint())
     for part in ("nodes", "edges", "tokens", "occurrences"):
-        setattr(g, part, getattr(g, part).cache())
+        setattr(g, part, getattr(g, part).checkpoint())
     return g
 
 
