@@ -104,17 +104,19 @@ def test_toxicity_on_held_out_labels(spark, corpus):
     assert np.mean(hit) > 0.9 and np.mean(false) < 0.03
 
 
-def test_label_model_finds_the_good_voter():
+def test_label_model_ranks_voters_and_joins_dependent_ones():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.3
-    good = np.where(rng.random(4000) < 0.95, y, ~y)
-    fair = np.where(rng.random(4000) < 0.8, y, ~y)
-    copy = fair.copy()
-    v = np.where(np.stack([good, fair, copy, np.where(rng.random(4000) < 0.75, y, ~y)], 1), 2, 1)
-    model = toxicity.fit_label_model(v, np.ones(4000), steps=60)
-    assert model.parent[2] == 1 or model.parent[1] == 2  # the copy is told apart from a second opinion
-    majority = (v == 2).sum(1) > 2
-    assert np.mean((model.posterior(v) > 0.5) == y) > max(0.85, np.mean(majority == y))
+    y = rng.random(20000) < 0.2
+    wrong = lambda share: np.where(rng.random(20000) < share, ~y, y)
+    good, fair, poor, other, last = (wrong(x) for x in (0.05, 0.15, 0.25, 0.1, 0.12))
+    copy = np.where(rng.random(20000) < 0.9, poor, wrong(0.25))
+    v = np.where(np.stack([good, fair, poor, other, last, copy], 1), 2, 1)
+    model = toxicity.fit_label_model(v, np.ones(20000))
+    assert model.parent[5] == 2 or model.parent[2] == 5
+    assert np.mean((model.posterior(v) > 0.5) == y) > 0.95
+    alone = toxicity.tables(v, np.ones(20000), model.posterior(v), [-1] * 6)
+    right = toxicity.LabelModel(*alone[:1], [-1] * 6, list(range(6)), alone[1]).accuracy()
+    assert right[0] > right[3] > right[1] > right[2]
 
 
 def test_toxicity_of_odd_rows(spark, corpus):
