@@ -547,7 +547,7 @@ def location_text(spark, d):
     return Star(spark, d).files().select("path", naming.location_text(c("path"), c("doc_id").cast("int")).alias("location"))
 
 
-@sql("""SELECT doc_id, CASE WHEN n_chars * 900 < 1024 THEN n_chars * 900 || ' B' WHEN n_chars * 900 < 1048576 THEN printf('%.1f KB', n_chars * 900 / 1024.0) ELSE printf('%.1f MB', n_chars * 900 / 1048576.0) END AS size,
+@sql("""SELECT doc_id, CASE WHEN n_chars * 900 < 1024 THEN n_chars * 900 || ' B' WHEN n_chars * 900 < 1048576 THEN floor(n_chars * 9000 / 1024.0 + 0.5) / 10 || ' KB' ELSE floor(n_chars * 9000 / 1048576.0 + 0.5) / 10 || ' MB' END AS size,
   CASE WHEN doc_id * 61 < 60 THEN 'just now' WHEN doc_id * 61 < 3600 THEN doc_id * 61 // 60 || 'm ago' WHEN doc_id * 61 < 86400 THEN doc_id * 61 // 3600 || 'h ago' ELSE doc_id * 61 // 86400 || 'd ago' END AS age FROM documents""")
 def human_size_and_age(spark, d):
     return table(spark, d, "documents").select("doc_id", naming.human_size(c("n_chars") * 900).alias("size"), naming.age(c("doc_id") * 61).alias("age"))

@@ -145,7 +145,8 @@ def listed_name(name: Column, kind: Column) -> Column:
 
 def human_size(size: Column) -> Column:
     k, m, g = 1024.0, 1024.0**2, 1024.0**3
-    return F.when(size < k, F.format_string("%d B", size)).when(size < m, F.format_string("%.1f KB", size / k)).when(size < g, F.format_string("%.1f MB", size / m)).otherwise(F.format_string("%.1f GB", size / g))
+    tenths = lambda unit, name: F.concat((F.floor(size * 10 / unit + 0.5) / 10).cast("string"), F.lit(name))
+    return F.when(size < k, F.format_string("%d B", size)).when(size < m, tenths(k, " KB")).when(size < g, tenths(m, " MB")).otherwise(tenths(g, " GB"))
 
 
 def age(seconds: Column) -> Column:
