@@ -6,9 +6,13 @@ it equals in most of the tokens after the leading ones, if that is ``SIMILAR`` o
 fields where they differ become variable; else it starts a template. Lines that can match are found by pieces of which one at
 least must be equal, so that a leaf takes about linear time.
 
-A template recurs if it is in ``MIN_DOCS`` documents at least, where documents of equal sketch (the smallest hash of three
-of their words in a row) count as one: copies of whole documents are no evidence of boilerplate, and belong to near-duplicate removal. Of a
-recurring template the first line stays (by document id, then place) with the texts equal to its own; all others go.
+A template recurs if it is in ``MIN_DOCS`` documents at least, where copies of one document count as one: they are no evidence of
+boilerplate, and belong to near-duplicate removal. Copies are told by what the documents hold besides the line: every line has a
+sketch of all lines of its document that are in other leaves, so that what a template itself makes alike doesn't count. The sketch
+has, for each of ``BINS`` ranges of hashes, four bits of the smallest hash there of three words in a row within a line; documents
+are copies if they agree in ``COPY`` of the bins that either uses. A document with under ``OUTSIDE`` of its words in other leaves is
+a near copy of any other such one, and counts for nothing. Of a recurring template the first line stays (by document id, then
+place) with the texts equal to its own; all others go.
 
 Lines travel once, sorted by leaf, and texts once, joined with the numbers of their dropped lines by a hash of the text.
 
@@ -39,6 +43,11 @@ LEAD = 3
 SIMILAR = 0.75
 MIN_DOCS = 8
 SKETCH_WORDS = 3
+BINS = 64
+COPY = 0.4
+OUTSIDE = 0.1
+#: Lines and rows whose sketches are unpacked at a time.
+BLOCK = 1 << 14
 FIELD = "<*>"
 DIGIT = re.compile(r"\d")
 
@@ -83,32 +92,89 @@ def templates(lines: dict[tuple[str, ...], int], lead: int, similar: float) -> l
     return out
 
 
+def line_grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line of every run of words within a line, of a short line's words together, and each line's number of words."""
+    h, line = grams.words(data, bounds)
+    g, at = grams.word_grams(h, line, SKETCH_WORDS)
+    count = np.bincount(line, minlength=len(bounds) - 1)
+    begin = np.cumsum(count) - count
+    short = np.flatnonzero((count > 0) & (count < SKETCH_WORDS))
+    few = np.zeros(len(short), np.uint64)
+    for k in range(SKETCH_WORDS - 1):
+        has = count[short] > k
+        few[has] = few[has] * np.uint64(grams.BASE) + h[begin[short[has]] + k]
+    return np.concatenate([g, grams.mix(few)]), np.concatenate([at, short]), count
+
+
+def outside(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, leaves: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of the lines in rows, packed sketches of their documents without the lines of their leaf. doc, leaves: of all lines."""
+    g, line, count = line_grams(data, bounds)
+    slot = doc[line] * BINS + (g >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    size = (int(doc[-1]) + 1) * BINS
+    none = np.uint64(2**64 - 1)
+    least, other, owner = np.full(size, none), np.full(size, none), np.zeros(size, np.int64)
+    np.minimum.at(least, slot, g)
+    own = leaves[line]
+    first = g == least[slot]
+    owner[slot[first]] = own[first]
+    rest = own != owner[slot]
+    np.minimum.at(other, slot[rest], g[rest])
+    least, other = (np.where(x == none, 0, 1 + x % np.uint64(15)).astype(np.uint8).reshape(-1, BINS) for x in (least, other))
+    owner = owner.reshape(-1, BINS)
+    order = np.lexsort((leaves, doc))  # words by document and leaf
+    begin = np.flatnonzero(np.append(True, (doc[order][1:] != doc[order][:-1]) | (leaves[order][1:] != leaves[order][:-1])))
+    inside = np.empty(len(doc), np.int64)
+    inside[order] = np.repeat(np.add.reduceat(count[order], begin), np.diff(np.append(begin, len(doc))))
+    whole = np.bincount(doc, count)[doc]
+    out = []
+    for lo in range(0, len(rows), BLOCK):
+        r = rows[lo : lo + BLOCK]
+        sketch = np.where(owner[doc[r]] == leaves[r, None], other[doc[r]], least[doc[r]])
+        sketch[whole[r] - inside[r] < OUTSIDE * whole[r]] = 0
+        out.append(sketch[:, ::2] << 4 | sketch[:, 1::2])
+    return np.concatenate(out)
+
+
+def apart(packed: np.ndarray, most: int) -> int:
+    """How many of the documents with these sketches are no copies of those before, up to ``most``."""
+    leads: list[np.ndarray] = []
+    for lo in range(0, len(packed), BLOCK):
+        rest = np.stack([packed[lo : lo + BLOCK] >> 4, packed[lo : lo + BLOCK] & 15], 2).reshape(-1, BINS)
+        rest, k = rest[rest.any(1)], 0
+        while len(rest) and len(leads) < most:
+            if k == len(leads):
+                leads.append(rest[0])
+            lead = leads[k]
+            agree = ((rest == lead) & (lead > 0)).sum(1)
+            rest, k = rest[agree < COPY * ((rest > 0) | (lead > 0)).sum(1)], k + 1
+    return len(leads)
+
+
 def line_rows(docs: DataFrame, lead: int) -> DataFrame:
     """(leaf, id, key, number, sketch, line) of all lines that aren't blank. docs: (id, key, text)."""
-    schema = T.StructType([T.StructField("leaf", T.LongType()), docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("sketch", T.LongType()), T.StructField("line", T.StringType())])
+    schema = T.StructType([T.StructField("leaf", T.LongType()), docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("line", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in grams.chunks(batch.column("text")):
-                h, doc = grams.words(data, off)
-                sketch = np.zeros(hi - lo, np.int64)
-                for g, at in ((h, doc), grams.word_grams(h, doc, SKETCH_WORDS)):  # short texts have single words alone
-                    if len(at):
-                        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                        sketch[at[begin]] = np.minimum.reduceat(g, begin).astype(np.int64)
-                at, leaves, numbers, lines = [], [], [], []
+                bounds = np.sort(np.concatenate([off, np.flatnonzero(data == 10) + 1]))
+                at, leaves, numbers, lines, rows = [], [], [], [], []
                 for d, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist()):
                     for k, line in enumerate(text.split("\n")):
                         tokens = line.split()
+                        at.append(d)
+                        leaves.append(leaf(tokens, lead) if tokens else 0)
                         if tokens:
-                            at.append(d)
-                            leaves.append(leaf(tokens, lead))
+                            rows.append(len(at) - 1)
                             numbers.append(k)
                             lines.append(line)
-                if at:
-                    rows = pa.array(np.array(at) + lo)
-                    columns = [pa.array(leaves, pa.int64()), batch.column("id").take(rows), batch.column("key").take(rows), pa.array(numbers, pa.int32()), pa.array(sketch[at]), pa.array(lines, pa.string())]
+                if rows:
+                    at, leaves, rows = np.array(at), np.array(leaves, np.int64), np.array(rows)
+                    packed = outside(data, bounds, at, leaves, rows)
+                    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(rows), [None, pa.py_buffer(np.ascontiguousarray(packed))])
+                    of = pa.array(at[rows] + lo)
+                    columns = [pa.array(leaves[rows]), batch.column("id").take(of), batch.column("key").take(of), pa.array(numbers, pa.int32()), sketch, pa.array(lines, pa.string())]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.filter(F.col("text").isNotNull()).mapInArrow(run, schema)
@@ -119,20 +185,22 @@ def drops(lines: DataFrame, lead: int, similar: float, min_docs: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "leaf"):
-            leaves, sketch = table["leaf"].to_numpy(), table["sketch"].to_numpy()
+            leaves = table["leaf"].to_numpy()
             first = np.append(np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])), len(leaves))
             key, number, ids = table["key"].to_numpy(), table["number"].to_numpy(), table["id"].combine_chunks()
             gone: list[int] = []
             for k in np.flatnonzero(np.diff(first) >= min_docs).tolist():
                 rows = range(first[k], first[k + 1])
-                if len(set(sketch[first[k] : first[k + 1]].tolist())) < min_docs:
+                if len(set(key[first[k] : first[k + 1]].tolist())) < min_docs:
                     continue
+                sketch = np.frombuffer(b"".join(table["sketch"].slice(first[k], len(rows)).to_pylist()), np.uint8).reshape(-1, BINS // 2)
                 by: dict[tuple[str, ...], list[int]] = defaultdict(list)
                 for row, line in zip(rows, table["line"].slice(first[k], len(rows)).to_pylist(), strict=True):
                     by[masked(line.split())].append(row)
                 for members in templates({line: len(own) for line, own in by.items()}, lead, similar):
                     own = [row for line in members for row in by[line]]
-                    if len(set(sketch[own].tolist())) >= min_docs:
+                    texts, one = np.unique(key[own], return_index=True)
+                    if len(texts) >= min_docs and apart(sketch[np.array(own)[one] - first[k]], min_docs) >= min_docs:
                         kept = min(own, key=lambda r: ((x := ids[r].as_py()) is None, 0 if x is None else x, number[r], key[r]))
                         gone += [r for r in own if (key[r], number[r]) != (key[kept], number[kept])]
             if gone:

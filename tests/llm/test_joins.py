@@ -166,6 +166,23 @@ def test_rare_lines_stay(spark):
     assert linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("dropped_lines > 0").count() == 0
 
 
+@pytest.mark.parametrize("n,whole,passage,times", [(10, 120, 60, 1), (10, 150, 100, 1), (20, 130, 100, 1), (12, 150, 60, 2)])
+def test_a_passage_does_not_make_its_documents_copies(spark, n, whole, passage, times):
+    rng = random.Random(n + passage)
+    for _ in range(3):
+        shared = prose(rng, passage)
+        docs = [(k, "\n".join([prose(rng, whole - passage)] + [shared] * times)) for k in range(n)]
+        got = linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sum(shared in r.text for r in got) == 1
+
+
+def test_edited_copies_are_no_recurrence(spark):
+    rng = random.Random(21)
+    base = "\n".join(prose(rng, m) for m in (60, 15, 45, 20))
+    docs = [(k, "\n".join(edited(rng, line, 0.05) for line in base.split("\n"))) for k in range(40)]
+    assert linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("dropped_lines > 0").count() == 0
+
+
 def distance_within(item, text):
     """Least edits from the item to any part of the text."""
     row = [0] * (len(text) + 1)
