@@ -6,12 +6,15 @@ it equals in most of the tokens after the leading ones, if that is ``SIMILAR`` o
 fields where they differ become variable; else it starts a template. Lines that can match are found by pieces of which one at
 least must be equal, so that a leaf takes about linear time.
 
-A template recurs if it is in ``MIN_DOCS`` documents at least, where copies of one document count as one: they are no evidence of
+A template recurs if it is in enough documents, where copies of one document count as one: they are no evidence of
 boilerplate, and belong to near-duplicate removal. Copies are told by what the documents hold besides the line: every line has a
 sketch of all lines of its document that are in other leaves, so that what a template itself makes alike doesn't count. The sketch
-has, for each of ``BINS`` ranges of hashes, four bits of the smallest hash there of three words in a row within a line; documents
-are copies if they agree in ``COPY`` of the bins that either uses. A document with under ``OUTSIDE`` of its words in other leaves is
-a near copy of any other such one, and counts for nothing. Of a recurring template the first line stays (by document id, then
+has, for each of ``BINS`` ranges of hashes, four bits of the smallest hash there of two words in a row within a line. A document is
+a copy if it agrees with the first of some copies in ``COPY`` of the bins that either uses, or with one of the next ``KIN_KEPT`` in
+``KIN`` of them. A document with under ``OUTSIDE`` of its words in other leaves is
+a near copy of any other such one, and counts for nothing. Enough are ``MIN_DOCS`` for lines of up to ``CHANCE`` tokens, which
+repeat by chance, and the fewer the longer the line, down to two from ``CHANCE * MIN_DOCS / 2`` tokens on (40). To go with fewer
+than ``MIN_DOCS``, only documents with ``FIRM`` of their words in other leaves count, as edits can make less than that unlike. Of a recurring template the first line stays (by document id, then
 place) with the texts equal to its own; all others go.
 
 Lines travel once, sorted by leaf, and texts once, joined with the numbers of their dropped lines by a hash of the text.
@@ -42,12 +45,16 @@ from ferrograph.llm.jaccard import groups
 LEAD = 3
 SIMILAR = 0.75
 MIN_DOCS = 8
-SKETCH_WORDS = 3
+CHANCE = 10
+SKETCH_WORDS = 2
 BINS = 64
 COPY = 0.4
+KIN = 0.5
+KIN_KEPT = 64
 OUTSIDE = 0.1
+FIRM = 0.25
 #: Lines and rows whose sketches are unpacked at a time.
-BLOCK = 1 << 14
+BLOCK = 1 << 10
 FIELD = "<*>"
 DIGIT = re.compile(r"\d")
 
@@ -107,7 +114,7 @@ def line_grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def outside(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, leaves: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of the lines in rows, packed sketches of their documents without the lines of their leaf. doc, leaves: of all lines."""
+    """Of the lines in rows, packed sketches of their documents without the lines of their leaf, and whether these are firm. doc, leaves: of all lines."""
     g, line, count = line_grams(data, bounds)
     slot = doc[line] * BINS + (g >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     size = (int(doc[-1]) + 1) * BINS
@@ -131,23 +138,46 @@ def outside(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, leaves: np.nd
         r = rows[lo : lo + BLOCK]
         sketch = np.where(owner[doc[r]] == leaves[r, None], other[doc[r]], least[doc[r]])
         sketch[whole[r] - inside[r] < OUTSIDE * whole[r]] = 0
-        out.append(sketch[:, ::2] << 4 | sketch[:, 1::2])
+        firm = whole[r] - inside[r] >= FIRM * whole[r]
+        out.append(np.column_stack([sketch[:, ::2] << 4 | sketch[:, 1::2], firm.astype(np.uint8)]))
     return np.concatenate(out)
 
 
+def agree(rows: np.ndarray, one: np.ndarray, share: float) -> np.ndarray:
+    return ((rows == one) & (one > 0)).sum(1) >= share * ((rows > 0) | (one > 0)).sum(1)
+
+
 def apart(packed: np.ndarray, most: int) -> int:
     """How many of the documents with these sketches are no copies of those before, up to ``most``."""
-    leads: list[np.ndarray] = []
+    found: list[list[np.ndarray]] = []
     for lo in range(0, len(packed), BLOCK):
         rest = np.stack([packed[lo : lo + BLOCK] >> 4, packed[lo : lo + BLOCK] & 15], 2).reshape(-1, BINS)
         rest, k = rest[rest.any(1)], 0
-        while len(rest) and len(leads) < most:
-            if k == len(leads):
-                leads.append(rest[0])
-            lead = leads[k]
-            agree = ((rest == lead) & (lead > 0)).sum(1)
-            rest, k = rest[agree < COPY * ((rest > 0) | (lead > 0)).sum(1)], k + 1
-    return len(leads)
+        while len(rest):
+            if k == len(found):
+                found.append([rest[0]])
+                if len(found) == most:
+                    return most
+            kin = found[k]
+            near = agree(rest, kin[0], COPY)
+            kin += list(rest[near][: KIN_KEPT + 1 - len(kin)])
+            rest = rest[~near]
+            for one in kin[1:]:
+                if not len(rest):
+                    break
+                rest = rest[~agree(rest, one, KIN)]
+            k += 1
+    return len(found)
+
+
+def recurs(sketch: np.ndarray, need: int, min_docs: int) -> bool:
+    firm = sketch[:, -1] > 0
+    return apart(sketch[firm, :-1], need) >= need or len(sketch) >= min_docs and apart(sketch[:, :-1], min_docs) >= min_docs
+
+
+def enough(tokens: int, min_docs: int) -> int:
+    """The number of documents in which a template of so many tokens recurs."""
+    return min(min_docs, max(2, -(-CHANCE * min_docs // tokens)))
 
 
 def line_rows(docs: DataFrame, lead: int) -> DataFrame:
@@ -172,7 +202,7 @@ def line_rows(docs: DataFrame, lead: int) -> DataFrame:
                 if rows:
                     at, leaves, rows = np.array(at), np.array(leaves, np.int64), np.array(rows)
                     packed = outside(data, bounds, at, leaves, rows)
-                    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(rows), [None, pa.py_buffer(np.ascontiguousarray(packed))])
+                    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2 + 1), len(rows), [None, pa.py_buffer(np.ascontiguousarray(packed))])
                     of = pa.array(at[rows] + lo)
                     columns = [pa.array(leaves[rows]), batch.column("id").take(of), batch.column("key").take(of), pa.array(numbers, pa.int32()), sketch, pa.array(lines, pa.string())]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -189,18 +219,19 @@ def drops(lines: DataFrame, lead: int, similar: float, min_docs: int) -> DataFra
             first = np.append(np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])), len(leaves))
             key, number, ids = table["key"].to_numpy(), table["number"].to_numpy(), table["id"].combine_chunks()
             gone: list[int] = []
-            for k in np.flatnonzero(np.diff(first) >= min_docs).tolist():
+            for k in np.flatnonzero(np.diff(first) >= min(2, min_docs)).tolist():
                 rows = range(first[k], first[k + 1])
-                if len(set(key[first[k] : first[k + 1]].tolist())) < min_docs:
+                need = enough(len(table["line"][first[k]].as_py().split()), min_docs)
+                if len(set(key[first[k] : first[k + 1]].tolist())) < need:
                     continue
-                sketch = np.frombuffer(b"".join(table["sketch"].slice(first[k], len(rows)).to_pylist()), np.uint8).reshape(-1, BINS // 2)
+                sketch = np.frombuffer(b"".join(table["sketch"].slice(first[k], len(rows)).to_pylist()), np.uint8).reshape(-1, BINS // 2 + 1)
                 by: dict[tuple[str, ...], list[int]] = defaultdict(list)
                 for row, line in zip(rows, table["line"].slice(first[k], len(rows)).to_pylist(), strict=True):
                     by[masked(line.split())].append(row)
                 for members in templates({line: len(own) for line, own in by.items()}, lead, similar):
                     own = [row for line in members for row in by[line]]
                     texts, one = np.unique(key[own], return_index=True)
-                    if len(texts) >= min_docs and apart(sketch[np.array(own)[one] - first[k]], min_docs) >= min_docs:
+                    if len(texts) >= need and recurs(sketch[np.array(own)[one] - first[k]], need, min_docs):
                         kept = min(own, key=lambda r: ((x := ids[r].as_py()) is None, 0 if x is None else x, number[r], key[r]))
                         gone += [r for r in own if (key[r], number[r]) != (key[kept], number[kept])]
             if gone:

@@ -183,6 +183,16 @@ def test_edited_copies_are_no_recurrence(spark):
     assert linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("dropped_lines > 0").count() == 0
 
 
+@pytest.mark.parametrize("tokens,n,goes", [(60, 2, True), (40, 2, True), (30, 3, True), (30, 2, False), (20, 4, True), (20, 3, False), (10, 7, False), (10, 8, True)])
+def test_long_lines_recur_in_few_documents(spark, tokens, n, goes):
+    rng = random.Random(tokens + n)
+    shared = prose(rng, tokens)
+    docs = [(k, "\n".join([prose(rng, 30), shared, prose(rng, 30)])) for k in range(n)]
+    docs += [(100 + k, docs[0][1] + " " + prose(rng, 2)) for k in range(9)]  # near copies add nothing
+    got = linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(shared in r.text for r in got if r.doc_id < 100) == (1 if goes else n)
+
+
 def distance_within(item, text):
     """Least edits from the item to any part of the text."""
     row = [0] * (len(text) + 1)
