@@ -14,6 +14,10 @@ from ferrograph.llm import decontaminate, jaccard, linededup, mixing, quality
 from ferrograph.llm.frames import staged
 
 
+#: Near copies from here on go: similarities of unlike texts end below it, and those of copies begin above (see the README).
+NEAR = 0.6
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated classifier rejects go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked similar documents the one with the smallest id stays."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, t=NEAR)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ itself. Each pair comes once, the smaller id first, and has the largest of its r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,11 @@ from ferrograph.llm.frames import free, staged
 N = 2
 THRESHOLD = 0.75
 MAX_REGION = 3000
-#: Grams to a part, at most.
+#: Grams to a part, at most, and the share of its grams that a set has to have in common with any similar one, by parts, where fewer grams to a part can give that.
 PART_GRAMS = 2.0
+PART_MARGIN = 0.12
+#: Bits of a part's key: equal keys of different parts only make candidates.
+PART_BITS = np.uint64(2**48 - 1)
 #: Documents of a part are counted up to here, to tell rare parts from common ones.
 MOST_COUNTED = 1 << 20
 PIVOTS = 12
@@ -77,9 +81,15 @@ def set_key(own: np.ndarray) -> int:
     return int((key | np.uint64(1)).astype(np.int64)[0])
 
 
+@cache
 def part_count(cls: int, t: float) -> int:
-    """Number of parts for pairs whose smaller set has 2**cls to 2**(cls + 1) - 1 grams: about two grams to a part at most."""
-    return 1 << 12 if cls < 6 else int(np.ceil((2 << cls) / t / PART_GRAMS))
+    """Number of parts for pairs whose smaller set has 2**cls to 2**(cls + 1) - 1 grams: about two grams to a part at most, fewer where t is low.
+
+    With x grams to a part, n grams use n (1 - exp(-x)) / x parts, and up to n (1 - t) / t of them differ from a similar set's.
+    """
+    x = np.arange(0.5, PART_GRAMS + 0.01, 0.05)
+    good = x[-np.expm1(-t * x) / (t * x) >= (1 - t) / t + PART_MARGIN]
+    return 1 << 12 if cls < 6 else int(np.ceil((2 << cls) / t / (good[-1] if len(good) else x[0])))
 
 
 def part_keys(own: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -123,7 +133,7 @@ def bucket_rows(docs: DataFrame, n: int, t: float) -> DataFrame:
                             notes += [cls << 32, cls << 32 | least]
                             size += [len(part), 1]
                 if parts:
-                    columns = [np.concatenate(parts).astype(np.int64), np.repeat(np.array(keys, np.int64), size), np.repeat(np.array(notes, np.int64), size)]
+                    columns = [(np.concatenate(parts) & PART_BITS).astype(np.int64), np.repeat(np.array(keys, np.int64), size), np.repeat(np.array(notes, np.int64), size)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "note"])
 
     return docs.select("text").mapInArrow(run, "part long, key long, note long")

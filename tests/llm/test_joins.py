@@ -99,6 +99,31 @@ def test_one_of_each_group_stays(spark, copies):
     assert kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_pipeline_takes_one_of_near_copies_below_the_join(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    docs = []
+    for k in range(12):
+        words = prose(rng, 250).split()
+        docs.append((k, " ".join(words)))
+        for at in range(5, 245, 12):  # 20 edits in 250 words
+            words[at] = "changed"
+        docs.append((100 + k, " ".join(words)))
+    near = all_pairs(docs, 2, 0.6)
+    assert len(near) == 12 and max(near.values()) < 0.75
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == set(range(12))
+
+
+@pytest.mark.parametrize("t", [0.6, 0.75])
+def test_sets_need_parts_in_common(t):
+    rng = np.random.default_rng(2)
+    for n in (130, 250, 255, 260, 420, 500, 900, 1023):
+        own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        assert all(least > 0.04 * n for _, _, least in jaccard.part_keys(own, t))
+
+
 def test_join_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_pairs(none).count() == 0 and jaccard.keep_one(none).count() == 0
