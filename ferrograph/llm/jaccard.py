@@ -25,7 +25,7 @@ itself. Each pair comes once, the smaller id first, and has the largest of its r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ PIVOTS = 12
 LEAF = 48
 #: Up to so many keys, the executors get the list of the sets that are in some region, and send no others.
 MAX_LISTED = 8_000_000
+#: From this threshold on, signatures of few cells tell unlike sets apart.
+FEW_CELLS = 0.7
 #: Regions up to this size are thinned out by signatures before whole sets are sent.
 PLAUSIBLE_REGION = 4000
 
@@ -109,9 +111,9 @@ def part_keys(own: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray, int]
         yield cls, key, max(1, len(first) - differ)
 
 
-def signature(own: np.ndarray) -> bytes | None:
-    """How many grams fall into each of about n / 4 cells, one byte each; None where a byte doesn't do."""
-    m = 1 << max(5, (len(own) // 4).bit_length())
+def signature(own: np.ndarray, t: float) -> bytes | None:
+    """How many grams fall into each of about n / 4 cells (n at thresholds where those would tell too little), one byte each; None where a byte doesn't do."""
+    m = 1 << max(5, (len(own) // (4 if t >= FEW_CELLS else 1)).bit_length())
     n = np.bincount((own >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m)
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
@@ -419,7 +421,7 @@ def key_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, max_region: int
     texts = docs.filter(F.col("text").isNotNull() & F.col("id").isNotNull())
     edges = staged(star_edges(shared_parts(bucket_rows(texts, n, t))), "edges")
     members = edges.select(F.col("pivot").alias("region"), "key").union(edges.select("pivot", F.col("pivot").alias("key")).distinct())
-    ids = staged(keyed(texts, listed(members), n, "cells", signature, every=True), "ids")
+    ids = staged(keyed(texts, listed(members), n, "cells", partial(signature, t=t), every=True), "ids")
     coarse = ids.filter(F.col("size").isNotNull()).select("key", "size", "cells").dropDuplicates(["key"])
     members = staged(plausible(members.join(coarse, "key"), t, PLAUSIBLE_REGION), "members")
     sets = keyed(texts, listed(members), n, "grams", np.ndarray.tobytes, every=False).select("key", "grams").dropDuplicates(["key"])
