@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="ferrograph-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,6 +47,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Sieve:
+    """A bitmap of fixed size (4 MB) of the upper bits of 64-bit hashes: says of each hash whether it may be among some, and never no to one that is.
+
+    It saves shuffling rows that have no partner in a join; the join decides. The more hashes there are the more rows pass.
+    """
+
+    BITS = 25
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, hashes: DataFrame, name: str) -> Sieve:
+        place = F.shiftrightunsigned(F.col(name), 64 - cls.BITS)
+        bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+        found = hashes.select(place.alias("place")).groupBy((F.shiftright("place", 6)).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        words = np.zeros(1 << (cls.BITS - 6), np.int64)
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
+        return cls(words.view(np.uint64))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes.astype(np.uint64) >> np.uint64(64 - self.BITS)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+    def may_have(self, hashes: Column) -> Column:
+        import pandas as pd
+
+        def test(h: pd.Series) -> pd.Series:
+            return pd.Series(self.has(h.to_numpy(np.int64)))
+
+        test.__annotations__ = {"h": pd.Series, "return": pd.Series}
+        return F.pandas_udf(test, "boolean")(hashes)
+
+
+def without(docs: DataFrame, lost: DataFrame, column: str, name: str) -> DataFrame:
+    """``docs`` without the rows whose ``column`` is among ``name`` of lost. Only rows of which a sieve can't tell that they stay are shuffled."""
+    lost = staged(lost, "lost")
+    maybe = Sieve.of(lost.select(F.xxhash64(name).alias("h")), "h").may_have(F.xxhash64(column))
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(lost, F.col(column) == F.col(name), "left_anti"))
+
+
 Kernel = Callable[[np.ndarray, np.ndarray], Sequence]
 
 

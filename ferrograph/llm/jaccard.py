@@ -1,31 +1,34 @@
 """Exact Jaccard self-join of documents' word n-gram sets by pivots, Voronoi regions and triangle-inequality windows.
 
 The distance 1 - J is a metric, but unrelated documents are all at distance 1 from each other, and then no pivot tells them
-apart. So the pivots are documents that others share something with. The range of gram hashes is cut into parts; in how many
-parts two sets of n and m grams can differ is at most (1 - t) / (1 + t) (n + m), as each such part holds a gram of one set alone.
-A set is keyed by all parts that it uses, with their grams, so it has as many keys more than that in common with any similar set.
-(Sets that use fewer parts share one key besides; the number of parts goes by powers of two of the smaller set's size, and sets
-just above one are keyed for both.) Documents that share fewer keys with all others together have no partner and go. Of the
-keys of the others, the rarest suffice by which a document must still meet each partner. In each bucket of
-documents with a part in common the document with the smallest key is the pivot of all others. The distinct documents of a
-pivot are its region, so every pair lies in one region at least. Documents that can't be similar to any other of their region,
-by counts of their grams in a few cells, leave it before whole sets are sent. A region over ``MAX_REGION`` documents is divided
-by pivots of its own: each document goes to the Voronoi cell of its nearest pivot, and to the cell of each pivot p with d(x, p)
-<= d(x, nearest) + 2 r, for r = 1 - t, so that both documents of a pair are in some cell together. Executors divide regions
-further in the same way, until pairs are compared one with another, where |d(x, p) - d(y, p)| <= r doesn't rule them out.
-Nothing is approximate or capped.
-
-Documents with equal sets count as one until the end.
+apart: a window around any pivot would hold the whole corpus. So the pivots are documents that others share something with.
+All grams have one order, from rare to common (by counts over the whole corpus in 2**``RANK_BITS`` cells, ties by hash), and the
+elements of a set are its pairs of neighbours in that order. If x and y have o grams in common, they have at least
+3 o - |x| - |y| - 1 elements in common, so at least s = (2 t - 1) |x| - 1 of x's with any similar set; by the prefix principle
+two similar sets have k elements in common already among the first |x| - 1 - s + k of each. (Small sets use their grams alone as
+elements, sets just above the small ones use both kinds.) The documents with an element in common make a bucket, and the one with
+the smallest key is its pivot. A document that meets others in fewer elements than k has no partner and goes; of the pivots of the
+others, those go by which it meets others in no more than (k - 1) / 2 elements in all, as then every similar pair still has a pivot
+in common. The documents of a pivot are its region. Documents that can't be similar to any other of their region, by
+counts of their grams in a few cells, leave it before whole sets are sent. A region over ``MAX_REGION`` documents is divided by
+pivots of its own: each document goes to the Voronoi cell of its nearest pivot, and to the cell of each pivot p with d(x, p)
+<= d(x, nearest) + 2 r, for r = 1 - t, so that both documents of a pair are in some cell together; a region that its pivots
+can't divide is compared in blocks. Executors divide regions further in the same way, until documents are compared one with
+another, where |d(x, p) - d(y, p)| <= r doesn't rule them out. A pair that is in several regions counts in the first.
+Nothing is approximate or capped, and there is one plan at every size.
+
+Documents with equal sets count as one until the end, and elements are sent once from each task for equal sets.
 
 Defined cases: a text with fewer than n words has its words together as its only gram; a null text or one without words has no
-gram and is in no pair. Rows with a null id are in no pair. Rows with the same id are one document, which is in no pair with
-itself. Each pair comes once, the smaller id first, and has the largest of its rows' similarities.
+gram and is similar to none. Rows with a null id are left out of pairs and groups. Rows with the same id are one document, which
+is in no pair with itself, and whose texts are in one class. Very long texts are taken whole. Ties don't arise: all pairs count.
+Each pair comes once, the smaller id first, and has the largest of its rows' similarities. An empty table has no pair and no
+group. Columns besides the id and the text may have any names; they pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,79 +39,67 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ferrograph.llm import grams
-from ferrograph.llm.frames import free, staged
+from ferrograph.llm.frames import Sieve, free, staged, without
 
 N = 2
-THRESHOLD = 0.75
+#: In the given tables similarities of unlike texts end below it, and those of near copies begin above (see the README).
+THRESHOLD = 0.6
 MAX_REGION = 3000
-#: Grams to a part, at most, and the share of its grams that a set has to have in common with any similar one, by parts, where fewer grams to a part can give that.
-PART_GRAMS = 2.0
-PART_MARGIN = 0.12
-#: Bits of a part's key: equal keys of different parts only make candidates.
-PART_BITS = np.uint64(2**48 - 1)
-#: Documents of a part are counted up to here, to tell rare parts from common ones.
-MOST_COUNTED = 1 << 20
+RANK_BITS = 18
+#: Elements that two similar sets must have in common, beyond one, as a share of the smaller set's grams, from a threshold on.
+MARGINS = ((0.7, 0.05), (0.0, 0.1))
+#: Elements to a bucket, and elements that a task holds before it sends them.
+BUCKET = 3_000_000
+HELD = 4_000_000
 PIVOTS = 12
 LEAF = 48
-#: Up to so many keys, the executors get the list of the sets that are in some region, and send no others.
-MAX_LISTED = 8_000_000
 #: From this threshold on, signatures of few cells tell unlike sets apart.
 FEW_CELLS = 0.7
-#: Regions up to this size are thinned out by signatures before whole sets are sent.
-PLAUSIBLE_REGION = 4000
+SHORT = np.uint64(16)
+
+
+class Sets:
+    """The sorted grams of each document of a chunk: those of document d are flat[ptr[d]:ptr[d + 1]], keys[d] is a hash of them all, 0 where there is none."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, n: int = N):
+        h, doc = grams.words(data, off)
+        g, at = grams.word_grams(h, doc, n)
+        docs = np.arange(len(off) - 1)
+        w_lo, w_hi = np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
+        few = np.flatnonzero((w_hi > w_lo) & (w_hi - w_lo < n))
+        if len(few):
+            whole = [np.bitwise_xor.reduce(h[w_lo[d] : w_hi[d]] * np.arange(3, 3 + 2 * (w_hi[d] - w_lo[d]), 2, dtype=np.uint64)) for d in few.tolist()]
+            g, at = np.concatenate([g, grams.mix(np.array(whole, np.uint64))]), np.concatenate([at, few])
+            order = np.argsort(at, kind="stable")
+            g, at = g[order], at[order]
+        g = g.copy()
+        edge = np.searchsorted(at, np.arange(len(docs) + 1))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            g[lo:hi].sort()
+        once = np.append(True, (g[1:] != g[:-1]) | (at[1:] != at[:-1]))[: len(g)]
+        self.flat, at = g[once], at[once]
+        self.ptr = np.searchsorted(at, np.arange(len(docs) + 1))
+        self.size = np.diff(self.ptr)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams.mix(self.flat ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
+        key = grams.mix(grams.mix(sums[self.ptr[1:]] - sums[self.ptr[:-1]] + self.size.astype(np.uint64))) | np.uint64(1)
+        self.keys = np.where(self.size > 0, key, np.uint64(0)).astype(np.int64)
+
+    def __getitem__(self, d: int) -> np.ndarray:
+        return self.flat[self.ptr[d] : self.ptr[d + 1]]
+
+    def new(self, seen: set[int]) -> list[int]:
+        """The documents with grams whose set isn't among those seen; these are added."""
+        out = []
+        for d, key in enumerate(self.keys.tolist()):
+            if key and key not in seen:
+                seen.add(key)
+                out.append(d)
+        return out
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> Iterator[np.ndarray]:
-    """The sorted grams of each document."""
-    h, doc = grams.words(data, off)
-    g, at = grams.word_grams(h, doc, n)
-    docs = np.arange(len(off) - 1)
-    lo, hi = np.searchsorted(at, docs), np.searchsorted(at, docs, side="right")
-    w_lo, w_hi = np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
-    for d in docs:
-        if hi[d] > lo[d]:
-            own = np.sort(g[lo[d] : hi[d]])
-            yield own[np.append(True, own[1:] != own[:-1])]
-        elif w_hi[d] > w_lo[d]:
-            few = h[w_lo[d] : w_hi[d]]
-            yield grams.mix(np.array([np.bitwise_xor.reduce(few * np.arange(3, 3 + 2 * len(few), 2, dtype=np.uint64))]))
-        else:
-            yield h[:0]
-
-
-def set_key(own: np.ndarray) -> int:
-    """A 64-bit hash of a set, never 0, as a signed number."""
-    with np.errstate(over="ignore"):
-        key = grams.mix(np.array([grams.mix(own ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64) + np.uint64(len(own))]))
-    return int((key | np.uint64(1)).astype(np.int64)[0])
-
-
-@cache
-def part_count(cls: int, t: float) -> int:
-    """Number of parts for pairs whose smaller set has 2**cls to 2**(cls + 1) - 1 grams: about two grams to a part at most, fewer where t is low.
-
-    With x grams to a part, n grams use n (1 - exp(-x)) / x parts, and up to n (1 - t) / t of them differ from a similar set's.
-    """
-    x = np.arange(0.5, PART_GRAMS + 0.01, 0.05)
-    good = x[-np.expm1(-t * x) / (t * x) >= (1 - t) / t + PART_MARGIN]
-    return 1 << 12 if cls < 6 else int(np.ceil((2 << cls) / t / (good[-1] if len(good) else x[0])))
-
-
-def part_keys(own: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray, int]]:
-    """For each class of pairs that a set can be in: the class, the keys of all parts that it uses, and how many of these it shares with any similar set at least."""
-    n = len(own)
-    top = n.bit_length() - 1
-    mixed = grams.mix(own ^ np.uint64(0xFEDCBA))
-    for cls, partner in ((top, n / t), (top - 1, (1 << top) - 1)):
-        if cls < 0 or (cls < top and t * n >= 1 << top):
-            continue
-        differ = int(np.floor((1 - t) / (1 + t) * (n + partner) + 1e-9))
-        part = ((own >> np.uint64(32)) * np.uint64(part_count(cls, t))) >> np.uint64(32)
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        key = grams.mix(np.add.reduceat(mixed, first) ^ grams.mix(part[first] * np.uint64(64) + np.uint64(cls)))
-        if len(first) <= differ:
-            key = np.append(key, grams.mix(np.array([cls + 1], np.uint64)))
-        yield cls, key, max(1, len(first) - differ)
+    own = Sets(data, off, n)
+    return (own[d] for d in range(len(own.size)))
 
 
 def signature(own: np.ndarray, t: float) -> bytes | None:
@@ -118,67 +109,232 @@ def signature(own: np.ndarray, t: float) -> bytes | None:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
-def bucket_rows(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """(part, key, note) of all documents; the note has the class, and in one row for each class, under a part of its own, the number of parts to share."""
+def census(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """Of each document with grams (id, key, short, size), with cells for one at least of each key; and rows with a block and its counts of all grams by cell."""
+    schema = T.StructType([docs.schema["id"], *(T.StructField(*f) for f in (("key", T.LongType()), ("short", T.LongType()), ("size", T.LongType()), ("cells", T.BinaryType()), ("block", T.IntegerType()), ("counts", T.BinaryType())))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(1 << RANK_BITS, np.int64), set()
+        for batch in batches:
+            for lo, hi, data, off in grams.chunks(batch.column("text")):
+                own = Sets(data, off, n)
+                total += np.bincount((own.flat >> np.uint64(64 - RANK_BITS)).astype(np.int64), minlength=len(total))
+                cells: list[bytes | None] = [None] * (hi - lo)
+                for d in own.new(seen):
+                    cells[d] = signature(own[d], t)
+                columns = [batch.column("id").slice(lo, hi - lo), pa.array(own.keys), pa.array(shorts(own.keys)), pa.array(own.size), pa.array(cells, pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow).filter(pa.array(own.keys != 0))
+        if total.any():
+            blocks = total.reshape(-1, 4096)
+            columns = [*(pa.nulls(len(blocks), f.type) for f in list(arrow)[:5]), pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
+def shorts(keys: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of keys."""
+    return (keys.astype(np.uint64) >> SHORT).astype(np.int64)
+
+
+def ranks(counts: DataFrame) -> np.ndarray:
+    """How common the grams of each cell are, on a scale of logarithms; 512 KB. counts: (block, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[block] = total.get(block, 0) + np.frombuffer(raw, np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros(1 << RANK_BITS, np.int64)
+    for r in counts.repartition("block").mapInArrow(run, "block int, counts binary").collect():
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(np.round(1000 * np.log2(1 + out)), 65535).astype(np.uint64)
+
+
+def small(t: float) -> int:
+    """Sets of so many grams at most use these alone as elements."""
+    return int(np.ceil(3 / (2 * t - 1))) if t > 0.51 else 1 << 60
+
+
+def needed(size: np.ndarray, t: float) -> np.ndarray:
+    """How many elements a set of that size has in common with a similar one of its size or more."""
+    margin = next(m for least, m in MARGINS if t >= least)
+    most = np.ceil((2 * t - 1) * size - 1 - 1e-9)
+    return np.maximum(1, np.where(size <= small(t) / t, 1, np.minimum(1 + np.floor(margin * size), most))).astype(np.int64)
+
+
+def elements(own: Sets, docs: np.ndarray, rank: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of the prefixes of some documents, and the document of each."""
+    size = own.size[docs]
+    doc = np.repeat(docs, size)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(doc)) - np.repeat(begin, size)
+    g = own.flat[np.repeat(own.ptr[docs], size) + place]
+    c = rank[g >> np.uint64(64 - RANK_BITS)] << np.uint64(48) | grams.mix(g) >> np.uint64(16)
+    for lo, hi in zip(begin.tolist(), (begin + size).tolist(), strict=True):
+        c[lo:hi].sort()
+    k = needed(size, t)
+    alone = np.where(size <= small(t) / t, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)
+    pairs = np.where(size > small(t), np.minimum(size - 1, size - 1 - np.ceil((2 * t - 1) * size - 1 - 1e-9).astype(np.int64) + k), 0)
+    one, two = place < np.repeat(alone, size), place < np.repeat(pairs, size)
+    both = np.flatnonzero(two)
+    joined = grams.mix(c[both] * np.uint64(grams.BASE) + c[np.minimum(both + 1, len(c) - 1)])
+    return np.concatenate([grams.mix(c[one] ^ np.uint64(0x51A7)), joined]), np.concatenate([doc[one], doc[two]])
+
+
+def packed(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Numbers as planes of their lower bytes, compressed. columns: unsigned numbers, and how many bytes of each to keep."""
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T) for c, width in columns]
+    raw = np.concatenate(planes).tobytes()
+    return len(columns[0][0]).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpacked(raw: bytes, widths: list[int]) -> list[np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], n * sum(widths), codec="zstd", asbytes=True), np.uint8).reshape(sum(widths), n)
+    out, at = [], 0
+    for width in widths:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = planes[at : at + width].T
+        out.append(full.view("<u8").reshape(-1))
+        at += width
+    return out
+
+
+def sent(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, data), for numbers in order of their buckets."""
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(edge[1:], len(bucket))
+    for k in range(0, len(edge), 256):
+        data = [packed([(c[a:b], w) for c, w in columns]) for a, b in zip(edge[k : k + 256].tolist(), ends[k : k + 256].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[k : k + 256]].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of equal width of 48-bit numbers."""
+    return (x >> SHORT) * np.uint64(buckets) >> np.uint64(32)
+
+
+def by_bucket(rows: DataFrame, buckets: int, widths: list[int], done: Callable, schema: str) -> DataFrame:
+    """The batches that ``done`` makes of all numbers of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(raw)
+        for bucket in sorted(held):
+            parts = [unpacked(raw, widths) for raw in held.pop(bucket)]
+            yield from done(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
+
+
+WIDTHS = [6, 6, 1]
+EDGE_WIDTHS = [6, 6, 3, 1]
+
+
+def bucket_rows(docs: DataFrame, rank: np.ndarray, buckets: int, n: int, t: float) -> DataFrame:
+    """(bucket, data): elements with the short keys of their documents, and how many must be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            e, key, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(e)
+            e, key, k = e[order] >> SHORT, key[order], k[order]
+            yield from sent(bucket_of(e, buckets), [(e, 6), (key, 6), (k, 1)])
+
+        count = 0
         for batch in batches:
             for _, _, data, off in grams.chunks(batch.column("text")):
-                parts, keys, notes, size = [], [], [], []
-                for own in gram_sets(data, off, n):
-                    if len(own):
-                        whole = set_key(own)
-                        for cls, part, least in part_keys(own, t):
-                            alone = grams.mix(np.array([whole ^ cls], np.int64).astype(np.uint64))
-                            parts += [part, alone]
-                            keys += [whole, whole]
-                            notes += [cls << 32, cls << 32 | least]
-                            size += [len(part), 1]
-                if parts:
-                    columns = [(np.concatenate(parts) & PART_BITS).astype(np.int64), np.repeat(np.array(keys, np.int64), size), np.repeat(np.array(notes, np.int64), size)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "note"])
-
-    return docs.select("text").mapInArrow(run, "part long, key long, note long")
+                own = Sets(data, off, n)
+                docs_here = np.array(own.new(seen), np.int64)
+                if not len(docs_here):
+                    continue
+                e, doc = elements(own, docs_here, rank, t)
+                k = scaled(needed(np.ceil(t * own.size - 1e-9).astype(np.int64), t))
+                held.append((e, own.keys.astype(np.uint64)[doc] >> SHORT, k[doc]))
+                count += len(e)
+                if count >= HELD:
+                    yield from flush()
+                    count = 0
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+
+
+def scaled(k: np.ndarray) -> np.ndarray:
+    """Counts in a byte, rounded down."""
+    return np.minimum(255, np.floor(8 * np.log2(k) + 1e-9)).astype(np.uint64)
+
+
+def unscaled(x: np.ndarray) -> np.ndarray:
+    return np.maximum(1, np.ceil(2.0 ** (x / 8) - 1e-6)).astype(np.int64)
 
 
 def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin of each run of equal rows, and the run of each row."""
-    first = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+    first = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))[: len(columns[0])]
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def shared_parts(rows: DataFrame) -> DataFrame:
-    """(part, key) of the documents that share as many parts as a similar pair must: of each, only as many as are needed for it to meet any similar one, the rarest."""
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "part"):
-            part, key, note = (table[c].to_numpy() for c in ("part", "key", "note"))
-            order = np.lexsort((key, part))
-            part, key, note = part[order], key[order], note[order]
-            once, _ = runs(part, key)
-            part, key, note = part[once], key[once], note[once]
-            begin, group = runs(part)
-            many = np.diff(np.append(begin, len(part)))[group]
-            keep = (many > 1) | (note & 0xFFFFFFFF > 0)
-            if keep.any():
-                note |= np.minimum(many, MOST_COUNTED) << 40
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (part, key, note)], names=["part", "key", "note"])
-
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "key"):
-            part, key, note = (table[c].to_numpy() for c in ("part", "key", "note"))
-            many, cls, least = note >> 40, note >> 32 & 0xFF, note & 0xFFFFFFFF
-            order = np.lexsort((part, many, least == 0, cls, key))  # what to share first, then parts, rarest first
-            part, key, cls, least = part[order], key[order], cls[order], least[order]
-            begin, group = runs(key, cls)
-            count = np.diff(np.append(begin, len(key))) - 1
-            place = np.arange(len(key)) - begin[group] - 1
-            keep = (least == 0) & (place < (count - least[begin] + 1)[group])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(key[keep])], names=["part", "key"])
-
-    some = rows.repartition("part").sortWithinPartitions("part").mapInArrow(shared, "part long, key long, note long")
-    return some.repartition("key").sortWithinPartitions("key").mapInArrow(enough, "part long, key long")
+def star_rows(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, data): documents, the pivots that they meet others by, in how many elements, and how many they need."""
+
+    def stars(e: np.ndarray, key: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(e)
+        e = e[order]
+        same = e[1:] == e[:-1]
+        some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        e, key, k = e[some], key[order[some]], k[order[some]]
+        order = np.lexsort((key, e))
+        e, key, k = e[order], key[order], k[order]
+        once, _ = runs(e, key)
+        e, key, k = e[once], key[once], k[once]
+        begin, of = runs(e)
+        many = np.diff(np.append(begin, len(e)))[of] > 1
+        key, pivot, k = key[many], key[begin][of][many], k[many]
+        if not len(key):
+            return
+        order = np.lexsort((pivot, key))
+        key, pivot, k = key[order], pivot[order], k[order]
+        begin, _ = runs(key, pivot)
+        times = np.diff(np.append(begin, len(key)))
+        key, pivot, k = key[begin], pivot[begin], k[begin]
+        yield from sent(bucket_of(key, buckets), [(key, 6), (pivot, 6), (times.astype(np.uint64), 3), (k, 1)])
+
+    return by_bucket(rows, buckets, WIDTHS, stars, "bucket int, data binary")
+
+
+def regions(rows: DataFrame, buckets: int) -> DataFrame:
+    """(region, short): the pivots that each document needs to meet every similar one."""
+
+    def chosen(key: np.ndarray, pivot: np.ndarray, times: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((pivot, key))
+        key, pivot, times, k = (x[order] for x in (key, pivot, times, k))
+        begin, _ = runs(key, pivot)
+        times = np.add.reduceat(times.astype(np.int64), begin)
+        key, pivot, k = key[begin], pivot[begin], unscaled(k[begin].astype(float))
+        order = np.lexsort((times, key))
+        key, pivot, times, k = (x[order] for x in (key, pivot, times, k))
+        begin, of = runs(key)
+        upto = np.cumsum(times)
+        whole = np.add.reduceat(times, begin)
+        upto -= (np.cumsum(whole) - whole)[of]
+        keep = (whole[of] >= k) & (upto > (k - 1) // 2)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[keep].astype(np.int64)), pa.array(key[keep].astype(np.int64))], names=["region", "short"])
+
+    return by_bucket(rows, buckets, EDGE_WIDTHS, chosen, "region long, short long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -200,56 +356,26 @@ def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def star_edges(rows: DataFrame) -> DataFrame:
-    """(pivot, key) of all buckets: documents that have a part in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "part"):
-            part, key = table["part"].to_numpy(), table["key"].to_numpy()
-            first = np.append(True, part[1:] != part[:-1])
-            lead = np.minimum.reduceat(key, np.flatnonzero(first))[np.cumsum(first) - 1]
-            far = lead != key
-            if far.any():
-                pairs = np.unique(np.stack([lead[far], key[far]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "key"])
-
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "pivot long, key long").distinct()
-
-
-class Listed:
-    def __init__(self, keys: np.ndarray | None):
-        self.keys = keys if keys is None else np.sort(keys)
-
-    def has(self, key: int) -> bool:
-        if self.keys is None:
-            return True
-        at = int(np.searchsorted(self.keys, key))
-        return at < len(self.keys) and int(self.keys[at]) == key
-
-
-def keyed(docs: DataFrame, listed: Listed, n: int, value: str, of: Callable[[np.ndarray], bytes | None], every: bool) -> DataFrame:
-    """(id, key, class, value) of the documents that have grams, with a value where the key is listed; others only if ``every``."""
-    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField(value, T.BinaryType())])
-    arrow = to_arrow_schema(schema)
+def whole_sets(docs: DataFrame, wanted: Sieve, n: int) -> DataFrame:
+    """(key, grams) of the documents whose short key may be wanted, once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for lo, hi, data, off in grams.chunks(batch.column("text")):
-                own = list(gram_sets(data, off, n))
-                keys = np.array([set_key(x) if len(x) else 0 for x in own], np.int64)
-                has = np.array([bool(k) and listed.has(k) for k in keys.tolist()])
-                some = [of(x) if h else None for x, h in zip(own, has.tolist(), strict=True)]
-                columns = [batch.column("id").slice(lo, hi - lo), pa.array(keys), pa.array([len(x) for x in own]), pa.array(some, pa.binary())]
-                rows = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-                yield rows.filter(pa.array((keys != 0) if every else has))
+            for _, _, data, off in grams.chunks(batch.column("text")):
+                own = Sets(data, off, n)
+                own.keys[~wanted.has(own.keys)] = 0
+                some = own.new(seen)
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(own.keys[some]), pa.array([own[d].tobytes() for d in some], pa.binary())], names=["key", "grams"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "key long, grams binary")
 
 
-def plausible(rows: DataFrame, t: float, most: int) -> DataFrame:
+def plausible(rows: DataFrame, t: float) -> DataFrame:
     """(region, key) of those that may be similar to another of their region: |x & y| is at most the sum over cells of the smaller count.
 
-    rows: (region, key, size, cells). In a region over ``most`` documents all stay.
+    rows: (region, key, size, cells).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,28 +385,45 @@ def plausible(rows: DataFrame, t: float, most: int) -> DataFrame:
             first = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
             good = np.zeros(len(region), bool)
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                k = hi - lo
-                if k < 2:
-                    continue
-                own = [counts[j].as_buffer() if counts[j].is_valid else None for j in range(lo, hi)]
-                if k > most or any(x is None for x in own):
-                    good[lo:hi] = True
-                    continue
-                m = min(len(x) for x in own)
-                rows = np.array([np.frombuffer(x, np.uint8).reshape(m, -1).sum(1, dtype=np.int32) for x in own])
-                n = size[lo:hi]
-                for i in range(k - 1):
-                    apart = np.abs(rows[i + 1 :] - rows[i]).sum(1)
-                    near = np.flatnonzero(apart <= (n[i + 1 :] + n[i]) * (1 - t) / (1 + t) + 1e-6)
-                    if len(near):
-                        good[lo + i] = True
-                        good[lo + i + 1 + near] = True
+                if hi - lo > 1:
+                    good[lo:hi] = some_near([counts[j].as_buffer() if counts[j].is_valid else None for j in range(lo, hi)], size[lo:hi], t)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(region[good]), pa.array(key[good])], names=["region", "key"])
 
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, key long")
 
 
+def some_near(cells: list, size: np.ndarray, t: float) -> np.ndarray:
+    """Which sets may be similar to another one of these, by their counts in cells."""
+    if any(x is None for x in cells):
+        return np.ones(len(size), bool)
+    order = np.argsort(size, kind="stable")
+    n = size[order]
+    good = np.zeros(len(n), bool)
+    limit = (1 - t) / (1 + t)
+    at = 0
+    while at < len(n):  # rows whose partners have the same number of cells or more
+        m = len(cells[order[at]])
+        same = at
+        while same < len(n) and len(cells[order[same]]) == m:
+            same += 1
+        end = int(np.searchsorted(n, n[same - 1] / t + 1e-9, side="right"))
+        rows = np.array([np.frombuffer(cells[k], np.uint8).reshape(m, -1).sum(1, dtype=np.int16) for k in order[at:end]])
+        for i in range(same - at):
+            far = int(np.searchsorted(n, n[at + i] / t + 1e-9, side="right")) - at
+            if good[at + i] and good[at + i + 1 : at + far].all():
+                continue
+            apart = np.abs(rows[i + 1 : far] - rows[i]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(apart <= (n[at + i + 1 : at + far] + n[at + i]) * limit + 1e-6)
+            if len(near):
+                good[at + i] = True
+                good[at + i + 1 + near] = True
+        at = same
+    out = np.zeros(len(n), bool)
+    out[order] = good
+    return out
+
+
 class Region:
     """Some sets, with their grams numbered."""
 
@@ -317,7 +460,7 @@ class Region:
             rows.append(self.distance(int(among[k]), among))
         return chosen, np.array(rows)
 
-    def join(self, among: np.ndarray, t: float) -> Iterator[tuple[int, int, int]]:
+    def join(self, among: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(x, y, |x & y|) of all pairs with J >= t; a pair may come more than once."""
         if len(among) < 2:
             return
@@ -345,44 +488,90 @@ class Region:
             if len(near):
                 both = self.shared(int(among[i]), among[near])
                 ok = both >= t * (size[i] + size[near] - both) - 1e-9
-                for j, b in zip(near[ok].tolist(), both[ok].tolist(), strict=True):
-                    yield int(among[i]), int(among[j]), b
+                if ok.any():
+                    yield np.full(int(ok.sum()), among[i]), among[near[ok]], both[ok]
+
+    def pairs(self, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair with J >= t once."""
+        found = list(self.join(np.arange(len(self.keys)), t))
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        x, y, both = (np.concatenate(c) for c in zip(*found, strict=True))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        _, once = np.unique(x * len(self.keys) + y, return_index=True)
+        return x[once], y[once], both[once]
+
+
+def before(region: int, lists: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each document: in which of the regions before this one it is."""
+    earlier = [x[x < region] for x in lists]
+    names = np.unique(np.concatenate(earlier))
+    bits = np.zeros((len(lists), len(names) // 64 + 1), np.uint64)
+    for row, own in zip(bits, earlier, strict=True):
+        at = np.searchsorted(names, own)
+        np.bitwise_or.at(row, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return bits
+
+
+def roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of n can reach by pairs."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def region_pairs(rows: DataFrame, t: float) -> DataFrame:
-    """Pairs of keys from (region, key, grams)."""
+def region_rows(members: DataFrame, sets: DataFrame, t: float, kernel: Callable, schema: str) -> DataFrame:
+    """What the kernel makes of (keys, sizes, x, y, shared, root) of each region; pairs x, y are in no region before. members: (region, key)."""
+    lists = members.groupBy("key").agg(F.sort_array(F.collect_set("region")).alias("all"))
+    rows = sets.join(lists, "key").select(F.explode("all").alias("region"), "key", "all", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "region"):
             region, keys = table["region"].to_numpy(), table["key"].to_numpy()
-            sets = table["grams"].combine_chunks()
+            sets, lists = table["grams"].combine_chunks(), table["all"].combine_chunks()
             first = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
-            a, b, both, whole = [], [], [], []
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                own = Region(keys[lo:hi], [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(lo, hi)])
-                for x, y, s in own.join(np.arange(hi - lo), t):
-                    x, y = (x, y) if own.keys[x] < own.keys[y] else (y, x)
-                    a.append(int(own.keys[x]))
-                    b.append(int(own.keys[y]))
-                    both.append(s)
-                    whole.append(int(own.size[x] + own.size[y]) - s)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.array(both) / np.array(whole))], names=["key_a", "key_b", "jaccard"])
+                order = lo + np.argsort(keys[lo:hi], kind="stable")
+                own = Region(keys[order], [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in order.tolist()])
+                x, y, both = own.pairs(t)
+                if len(x):
+                    bits = before(int(region[lo]), [lists[k].values.to_numpy() for k in order.tolist()])
+                    once = ~(bits[x] & bits[y]).any(1)
+                    out = kernel(own.keys, own.size, x[once], y[once], both[once], roots(x, y, hi - lo))
+                    if out.num_rows:
+                        yield out
+
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, schema)
+
+
+def listed_pairs(keys: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, both: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y]), pa.array(both / (size[x] + size[y] - both))], names=["key_a", "key_b", "jaccard"])
+
 
-    found = rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "key_a long, key_b long, jaccard double")
-    return found.dropDuplicates(["key_a", "key_b"])
+def counted_links(keys: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, both: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    links = np.bincount(x, minlength=len(keys)) + np.bincount(y, minlength=len(keys))
+    some = np.flatnonzero((links > 0) | (root != np.arange(len(keys))))
+    return pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[root[some]]), pa.array(links[some].astype(np.int64))], names=["key", "root", "links"])
 
 
 def divide(members: DataFrame, sets: DataFrame, t: float, most: int) -> DataFrame:
-    """(region, key), with regions over ``most`` documents divided by pivots of their own, as long as that helps."""
+    """(region, key), with regions over ``most`` documents divided by pivots of their own, as long as that helps, and into pairs of blocks then."""
     done = None
     for level in range(12):
         size = members.groupBy("region").agg(F.count("*").alias("n"))
         large = staged(size.filter(F.col("n") > most), "large")
         if large.isEmpty():
-            break
+            return members if done is None else done.unionByName(members)
         by = Window.partitionBy("region").orderBy(F.xxhash64("key", F.lit(level)), "key")
         inside = members.join(large, "region")
         chosen = inside.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= PIVOTS)
@@ -408,37 +597,46 @@ def divide(members: DataFrame, sets: DataFrame, t: float, most: int) -> DataFram
         before = large.select(F.col("region").alias("was"), F.col("n").alias("n_was"))
         worse = split.groupBy("was", "region").agg(F.count("*").alias("n")).join(before, "was")
         worse = worse.groupBy("was").agg(F.max("n").alias("top"), F.sum(F.col("n").cast("double") * F.col("n")).alias("work"), F.first("n_was").alias("n_was"))
-        stuck = worse.filter((F.col("top") >= 0.95 * F.col("n_was")) | (F.col("work") >= 0.8 * F.col("n_was") * F.col("n_was"))).select("was")
-        stuck = staged(stuck, "stuck")
-        final = members.join(large, "region", "left_anti").unionByName(members.join(stuck.withColumnRenamed("was", "region"), "region", "left_semi"))
+        stuck = worse.filter((F.col("top") >= 0.95 * F.col("n_was")) | (F.col("work") >= 0.8 * F.col("n_was") * F.col("n_was")))
+        stuck = staged(stuck.select(F.col("was").alias("region"), "n_was"), "stuck")
+        final = members.join(large, "region", "left_anti").unionByName(blocks(members.join(stuck, "region"), most))
         done = final if done is None else done.unionByName(final)
-        members = split.join(stuck, "was", "left_anti").select("region", "key")
-    return members if done is None else done.unionByName(members)
+        members = split.join(stuck.select(F.col("region").alias("was")), "was", "left_anti").select("region", "key")
+    rest = members.join(members.groupBy("region").agg(F.count("*").alias("n_was")), "region")
+    return done.unionByName(blocks(rest, most))
 
 
-def key_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> tuple[DataFrame, DataFrame]:
-    """``(id, key)`` of the documents that have grams, and ``(key_a, key_b, jaccard)`` of the similar pairs of different keys. docs: (id, text)."""
-    texts = docs.filter(F.col("text").isNotNull() & F.col("id").isNotNull())
-    edges = staged(star_edges(shared_parts(bucket_rows(texts, n, t))), "edges")
-    members = edges.select(F.col("pivot").alias("region"), "key").union(edges.select("pivot", F.col("pivot").alias("key")).distinct())
-    ids = staged(keyed(texts, listed(members), n, "cells", partial(signature, t=t), every=True), "ids")
-    coarse = ids.filter(F.col("size").isNotNull()).select("key", "size", "cells").dropDuplicates(["key"])
-    members = staged(plausible(members.join(coarse, "key"), t, PLAUSIBLE_REGION), "members")
-    sets = keyed(texts, listed(members), n, "grams", np.ndarray.tobytes, every=False).select("key", "grams").dropDuplicates(["key"])
-    sets = staged(sets.join(members.select("key").distinct(), "key", "left_semi"), "sets")
-    members = divide(members, sets, t, max_region)
-    return ids.select("id", "key"), staged(region_pairs(members.join(sets, "key"), t), "pairs")
+def blocks(members: DataFrame, most: int) -> DataFrame:
+    """(region, key): each pair of blocks of a region is a region of its own. members: (region, key, n_was)."""
+    count = F.ceil(F.col("n_was") * 2 / most).cast("long")
+    own = members.withColumn("b", F.pmod(F.xxhash64("key", F.lit("block")), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    own = own.filter((F.col("b") != F.col("other")) | (count == 1))  # the pairs within a block are in all its regions
+    return own.select(F.xxhash64("region", F.least("b", "other"), F.greatest("b", "other"), F.lit("block")).alias("region"), "key")
 
 
-def listed(members: DataFrame) -> Listed:
-    """The keys of all members, if they aren't too many to be sent to every executor."""
-    keys = members.select("key").distinct()
-    return Listed(keys.toPandas()["key"].to_numpy(np.int64) if keys.count() <= MAX_LISTED else None)
+def joined(docs: DataFrame, n: int, t: float, max_region: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, key) of the documents with grams, (region, key), and (key, grams) of all keys in regions. docs: (id, text)."""
+    texts = docs.filter(F.col("text").isNotNull() & F.col("id").isNotNull())
+    counted = staged(census(texts, n, t), "census")
+    ids = counted.filter(F.col("block").isNull())
+    rank = ranks(counted.filter(F.col("block").isNotNull()).select("block", "counts"))
+    total = ids.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET))
+    edges = star_rows(bucket_rows(texts, rank, buckets, n, t), buckets)
+    members = staged(regions(edges, max(1, buckets // 4)), "regions")
+    coarse = ids.filter(F.col("cells").isNotNull()).select("short", "key", "size", "cells").dropDuplicates(["key"])
+    several = members.groupBy("region").count().filter("count > 1").select("region")
+    members = staged(plausible(members.join(several, "region").join(coarse, "short").select("region", "key", "size", "cells"), t), "members")
+    wanted = Sieve.of(members.select("key"), "key")
+    sets = whole_sets(texts, wanted, n).dropDuplicates(["key"])
+    sets = staged(sets.join(members.select("key").distinct(), "key", "left_semi"), "sets")
+    return ids.select("id", "key"), divide(members, sets, t, max_region), sets
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
-    """All pairs ``doc_a < doc_b`` with ``jaccard`` >= t."""
-    ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
+    """All pairs ``doc_a < doc_b`` with ``jaccard`` >= t; as many as there are, also among copies."""
+    ids, members, sets = joined(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
+    pairs = staged(region_rows(members, sets, t, listed_pairs, "key_a long, key_b long, jaccard double"), "pairs")
     lists = ids.groupBy("key").agg(F.collect_set("id").alias("ids"))
     a, b = lists.select(F.col("key").alias("key_a"), F.col("ids").alias("a")), lists.select(F.col("key").alias("key_b"), F.col("ids").alias("b"))
     crossed = pairs.join(a, "key_a").join(b, "key_b").select("a", "b", "jaccard")
@@ -448,9 +646,9 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n
     return same_rows.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """``(key, group)`` of all keys in pairs; the group is the smallest key that can be reached."""
-    edges = staged(pairs.select(F.col("key_a").alias("x"), F.col("key_b").alias("y")).union(pairs.select("key_b", "key_a")), "links")
+def components(edges: DataFrame) -> DataFrame:
+    """``(key, group)`` of all keys in edges (key_a, key_b); the group is the smallest key that can be reached."""
+    edges = staged(edges.select(F.col("key_a").alias("x"), F.col("key_b").alias("y")).union(edges.select("key_b", "key_a")).distinct(), "links")
     label = staged(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("key"), F.least("x", "y").alias("group")), "label")
     while True:
         heard = edges.join(label, edges["y"] == label["key"]).select(F.col("x").alias("key"), "group")
@@ -461,13 +659,36 @@ def components(pairs: DataFrame) -> DataFrame:
         label = new
 
 
+def key_groups(docs: DataFrame, n: int, t: float, max_region: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, key); (key, links), how many other sets are similar; (key, group). docs: (id, text)."""
+    ids, members, sets = joined(docs, n, t, max_region)
+    found = staged(region_rows(members, sets, t, counted_links, "key long, root long, links long"), "found")
+    several = ids.groupBy("id").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)  # texts of one id hang together
+    own = several.select(F.array_min("keys").alias("key_a"), F.explode("keys").alias("key_b"))
+    edges = found.select(F.col("key").alias("key_a"), F.col("root").alias("key_b")).unionByName(own)
+    return ids, found.groupBy("key").agg(F.sum("links").alias("links")), components(edges.filter("key_a != key_b"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
+    """One row for each id: its ``class_id``, the smallest id that it is linked with through similar texts; ``copies``, how many other ids have an equal set of grams; ``links``, how many other sets are similar to its own."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    ids, links, groups_of = key_groups(rows, n, t, max_region)
+    own = ids.distinct()
+    sized = own.groupBy("key").agg((F.count("*") - 1).alias("copies"), F.min("id").alias("first"))
+    keys = sized.join(links, "key", "left").join(groups_of, "key", "left").select("key", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "key").alias("group"))
+    keys = staged(keys, "keys")
+    least = keys.groupBy("group").agg(F.min("first").alias("class_id"))
+    found = own.join(keys, "key").join(least, "group").groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.sum("links").alias("links"))
+    every = rows.select("id").filter(F.col("id").isNotNull()).distinct().join(found, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return every.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), zero("copies"), zero("links"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
     """``docs`` without those that are linked by similar pairs to a document with a smaller id. Rows without grams or id stay, and rows of one id stay or go together."""
-    ids, pairs = key_pairs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
-    several = ids.groupBy("id").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > 1)  # texts of one id hang together
-    own = several.select(F.array_min("keys").alias("key_a"), F.explode("keys").alias("key_b")).filter("key_a != key_b")
-    grouped = ids.join(components(pairs.select("key_a", "key_b").unionByName(own)), "key", "left").select("id", F.coalesce("group", "key").alias("group"))
-    best = grouped.groupBy("group").agg(F.min("id").alias("best"), F.count_distinct("id").alias("n")).filter(F.col("n") > 1)
+    ids, _, groups_of = key_groups(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), n, t, max_region)
+    grouped = ids.join(groups_of, "key", "left").select("id", F.coalesce("group", "key").alias("group"))
+    best = grouped.groupBy("group").agg(F.min("id").alias("best"), F.max("id").alias("last")).filter(F.col("best") != F.col("last")).select("group", "best")
     name = free(docs.columns, "gone")
     lost = grouped.join(best, "group").filter(F.col("id") != F.col("best")).select(F.col("id").alias(name)).distinct()
-    return docs.join(lost, docs[id_col] == lost[name], "left_anti")
+    return without(docs, lost, id_col, name)

@@ -49,21 +49,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+    return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL["op4_ngram_jaccard_join"] = r"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
-), grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM words
-), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
-), shared AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), lists AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS gs FROM words WHERE len(w) > 0
+), keyed AS (SELECT doc_id, md5(array_to_string(gs, ',')) AS k, gs FROM lists
+), sets AS (SELECT k, any_value(gs) AS gs, count(*) - 1 AS copies, min(doc_id) AS first FROM keyed GROUP BY k
+), grams AS (SELECT k, len(gs) AS n, unnest(gs) AS g FROM sets
+), pairs AS (
+  SELECT a.k AS x, b.k AS y FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k
+  GROUP BY a.k, b.k, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)) - 1e-9
+), reach AS (SELECT k AS x, k AS y FROM sets UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x
+), least AS (SELECT r.x AS k, min(s.first) AS class_id FROM reach r JOIN sets s ON s.k = r.y GROUP BY r.x
+), links AS (SELECT x AS k, count(*) AS links FROM pairs GROUP BY x
 )
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE c >= 0.75 * (x.n + y.n - c)
+SELECT d.doc_id, coalesce(l.class_id, d.doc_id) AS class_id, CAST(coalesce(s.copies, 0) AS BIGINT) AS copies, CAST(coalesce(n.links, 0) AS BIGINT) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+LEFT JOIN keyed USING (doc_id) LEFT JOIN sets s USING (k) LEFT JOIN least l USING (k) LEFT JOIN links n USING (k)
 """
 
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ferrograph.llm import decontaminate, grams, jaccard, linededup, mixing
 
@@ -76,14 +77,15 @@ def test_recursion_in_a_region_is_exact():
         base = rng.choice(10_000, 90, replace=False).astype(np.uint64)
         sets += [np.unique(np.concatenate([rng.permutation(base)[: 90 - k], rng.choice(10_000, k).astype(np.uint64)])) for k in rng.integers(0, 30, 25)]
     own = jaccard.Region(np.arange(len(sets)), sets)
-    got = {tuple(sorted(p[:2])) for p in own.join(np.arange(len(sets)), 0.8)}
+    x, y, _ = own.pairs(0.8)
+    got = set(zip(x.tolist(), y.tolist()))
     plain = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
     assert got == plain and len(plain) > 100
 
 
 def test_one_of_each_group_stays(spark, copies):
     df = spark.createDataFrame([(*r, "x") for r in copies], "doc_id long, text string, gone string")
-    pairs, up = all_pairs(copies, 2, 0.75), {}
+    pairs, up = all_pairs(copies, 2, jaccard.THRESHOLD), {}
 
     def find(x):
         while up.get(x, x) != x:
@@ -116,12 +118,65 @@ def test_pipeline_takes_one_of_near_copies_below_the_join(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(12))
 
 
-@pytest.mark.parametrize("t", [0.6, 0.75])
-def test_sets_need_parts_in_common(t):
+@pytest.mark.parametrize("t", [0.55, 0.6, 0.75, 0.9, 1.0])
+def test_similar_sets_meet_often_enough(t):
+    """However similar sets of any sizes differ, their prefixes share as many elements as needed, whatever the ranks."""
     rng = np.random.default_rng(2)
-    for n in (130, 250, 255, 260, 420, 500, 900, 1023):
-        own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-        assert all(least > 0.04 * n for _, _, least in jaccard.part_keys(own, t))
+    rank = rng.integers(0, 50, 1 << jaccard.RANK_BITS).astype(np.uint64)
+    met = 0
+    for n in [*range(1, 40), 130, 255, 256, 700]:
+        for _ in range(4):
+            base = rng.integers(1, 2**63, 2 * n + 4, dtype=np.uint64) * np.uint64(2)
+            both = rng.integers(int(np.ceil(t * n)), n + 1)
+            more = int(both / t - 1e-9) - n
+            x, y = np.unique(base[:n]), np.unique(np.concatenate([base[:both], base[n : n + max(0, more)]]))
+            if len(np.intersect1d(x, y)) < t * len(np.union1d(x, y)) - 1e-9:
+                continue
+            met += 1
+            own = jaccard.Sets(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+            own.flat, own.ptr = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
+            own.size = np.diff(own.ptr)
+            e, doc = jaccard.elements(own, np.array([0, 1]), rank, t)
+            assert len(np.intersect1d(e[doc == 0], e[doc == 1])) >= jaccard.needed(np.array([min(len(x), len(y))]), t)[0]
+    assert met > 100
+
+
+def test_classes_against_all_pairs(spark, copies):
+    docs = [d for d in copies if d[0] != 7]
+    sets = {k: frozenset(word_sets(text, 2)) for k, text in docs if k is not None}
+    near = {(a, b) for a, b in all_pairs(docs, 2, 0.6)}
+    up = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string").withColumn("KEY", F.lit(1))).collect()
+    want = set()
+    for k, own in sets.items():
+        other = {sets[b if a == k else a] for a, b in near if k in (a, b)} - {own}
+        want.add((k, find(k), sum(x == own for x in sets.values()) - 1 if own else 0, len(other)))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_regions_that_cannot_be_divided_are_compared_in_blocks(spark):
+    rng = random.Random(19)
+    base = prose(rng, 60)
+    docs = [(k, edited(rng, base, 0.03)) for k in range(60)]
+    got = jaccard.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string"), t=0.6, max_region=10).collect()
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in got} == all_pairs(docs, 2, 0.6)
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(23)
+    base, other = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000)) for _ in range(2))
+    docs = [(1, base), (2, edited(rng, base, 0.05)), (3, other), (4, prose(rng, 50))]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
 
 
 def test_join_of_nothing(spark):

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ferrograph.llm import captures, preferences, tokencount
+from ferrograph.llm import captures, jaccard, preferences, tokencount
 
 WORDS = "the of house 12 don't  été\n\n, x.y ?! a@b.de".split(" ")
 
@@ -146,7 +146,7 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     good, lines, single, clean, mixed = kept
     assert set(good) == {d[0] for d in docs} - set(range(300, 320)) - {400, 401}
     assert set(lines) == set(good) and sum("brought to you" in t for t in lines.values()) == 1
-    lost = {b for _, b in all_pairs(sorted(lines.items()), 2, 0.75)}
+    lost = {b for _, b in all_pairs(sorted(lines.items()), 2, jaccard.THRESHOLD)}
     assert set(single) == set(lines) - lost and lost >= {100, 101, 102, 103, 104, 105, 200}
     assert set(clean) == {d for d, t in single.items() if plain_text(leaked) not in plain_text(t)} and 201 not in clean
     assert set(mixed) <= set(clean) and now.columns == [*before.columns, "n_tokens", "rate", "copies"]
