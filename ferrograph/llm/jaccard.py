@@ -47,7 +47,7 @@ THRESHOLD = 0.6
 MAX_REGION = 3000
 RANK_BITS = 18
 #: Elements that two similar sets must have in common, beyond one, as a share of the smaller set's grams, from a threshold on.
-MARGINS = ((0.7, 0.05), (0.0, 0.1))
+MARGINS = ((0.7, 0.05), (0.0, 0.04))
 #: Elements to a bucket, and elements that a task holds before it sends them.
 BUCKET = 3_000_000
 HELD = 4_000_000
@@ -55,7 +55,9 @@ PIVOTS = 12
 LEAF = 48
 #: From this threshold on, signatures of few cells tell unlike sets apart.
 FEW_CELLS = 0.7
-SHORT = np.uint64(16)
+#: Elements are 48 bits of a hash, and documents 40 bits of their keys, until whole keys are joined: what is equal by chance only makes candidates.
+ELEMENT_BITS = 48
+SHORT_BITS = 40
 
 
 class Sets:
@@ -102,11 +104,20 @@ def gram_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> Iterator[np.ndar
     return (own[d] for d in range(len(own.size)))
 
 
-def signature(own: np.ndarray, t: float) -> bytes | None:
-    """How many grams fall into each of about n / 4 cells (n at thresholds where those would tell too little), one byte each; None where a byte doesn't do."""
-    m = 1 << max(5, (len(own) // (4 if t >= FEW_CELLS else 1)).bit_length())
+def signature(own: np.ndarray, t: float) -> bytes:
+    """How many grams fall into each of about n / 6 cells (n / 3 at thresholds where those would tell too little), in half a byte each if all fit."""
+    m = 1 << max(5, (len(own) // (4 if t >= FEW_CELLS else 2)).bit_length() - 1)
     n = np.bincount((own >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+    if n.max() < 16:
+        return b"h" + (n[::2] << 4 | n[1::2]).astype(np.uint8).tobytes()
+    return b"w" + np.minimum(n, 2**31 - 1).astype("<i4").tobytes()
+
+
+def cell_counts(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"w":
+        return np.frombuffer(raw, "<i4", offset=1)
+    half = np.frombuffer(raw, np.uint8, offset=1)
+    return np.stack([half >> 4, half & 15], 1).reshape(-1).astype(np.int32)
 
 
 def census(docs: DataFrame, n: int, t: float) -> DataFrame:
@@ -134,8 +145,8 @@ def census(docs: DataFrame, n: int, t: float) -> DataFrame:
 
 
 def shorts(keys: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of keys."""
-    return (keys.astype(np.uint64) >> SHORT).astype(np.int64)
+    """The upper bits of keys."""
+    return (keys.astype(np.uint64) >> np.uint64(64 - SHORT_BITS)).astype(np.int64)
 
 
 def ranks(counts: DataFrame) -> np.ndarray:
@@ -214,9 +225,9 @@ def sent(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[k : k + 256]].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
 
 
-def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of equal width of 48-bit numbers."""
-    return (x >> SHORT) * np.uint64(buckets) >> np.uint64(32)
+def bucket_of(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Ranges of equal width of numbers of so many bits."""
+    return (x >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
 
 
 def by_bucket(rows: DataFrame, buckets: int, widths: list[int], done: Callable, schema: str) -> DataFrame:
@@ -234,23 +245,23 @@ def by_bucket(rows: DataFrame, buckets: int, widths: list[int], done: Callable,
     return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
 
 
-WIDTHS = [6, 6, 1]
-EDGE_WIDTHS = [6, 6, 3, 1]
+WIDTHS = [6, 5, 1]
+EDGE_WIDTHS = [5, 5, 3, 1]
 
 
 def bucket_rows(docs: DataFrame, rank: np.ndarray, buckets: int, n: int, t: float) -> DataFrame:
-    """(bucket, data): elements with the short keys of their documents, and how many must be shared."""
+    """(bucket, data): elements with the short keys and sizes of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            e, key, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            e, key, size = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(e)
-            e, key, k = e[order] >> SHORT, key[order], k[order]
-            yield from sent(bucket_of(e, buckets), [(e, 6), (key, 6), (k, 1)])
+            e = e[order] >> np.uint64(64 - ELEMENT_BITS)
+            yield from sent(bucket_of(e, ELEMENT_BITS, buckets), list(zip([e, key[order], size[order]], WIDTHS, strict=True)))
 
         count = 0
         for batch in batches:
@@ -260,8 +271,7 @@ def bucket_rows(docs: DataFrame, rank: np.ndarray, buckets: int, n: int, t: floa
                 if not len(docs_here):
                     continue
                 e, doc = elements(own, docs_here, rank, t)
-                k = scaled(needed(np.ceil(t * own.size - 1e-9).astype(np.int64), t))
-                held.append((e, own.keys.astype(np.uint64)[doc] >> SHORT, k[doc]))
+                held.append((e, shorts(own.keys).astype(np.uint64)[doc], scaled(own.size)[doc]))
                 count += len(e)
                 if count >= HELD:
                     yield from flush()
@@ -272,13 +282,14 @@ def bucket_rows(docs: DataFrame, rank: np.ndarray, buckets: int, n: int, t: floa
     return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
-def scaled(k: np.ndarray) -> np.ndarray:
-    """Counts in a byte, rounded down."""
-    return np.minimum(255, np.floor(8 * np.log2(k) + 1e-9)).astype(np.uint64)
+def scaled(size: np.ndarray) -> np.ndarray:
+    """Sizes in a byte, rounded down."""
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, size)) + 1e-9)).astype(np.uint64)
 
 
-def unscaled(x: np.ndarray) -> np.ndarray:
-    return np.maximum(1, np.ceil(2.0 ** (x / 8) - 1e-6)).astype(np.int64)
+def least_needed(size: np.ndarray, t: float) -> np.ndarray:
+    """How many elements a set of a scaled size meets any similar one in, at least."""
+    return needed(np.ceil(t * np.floor(2.0 ** (size.astype(float) / 8) + 1e-6) - 1e-6).astype(np.int64), t)
 
 
 def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,46 +298,53 @@ def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def star_rows(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, data): documents, the pivots that they meet others by, in how many elements, and how many they need."""
+def star_rows(rows: DataFrame, buckets: int, t: float) -> DataFrame:
+    """(bucket, data): documents, the pivots that they meet others by, in how many elements, and their sizes.
+
+    A bucket is cut where the next size is too large for a similar set.
+    """
+    far = int(np.floor(8 * np.log2(1 / t) + 1e-9)) + 1
 
-    def stars(e: np.ndarray, key: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def stars(e: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(e)
         e = e[order]
         same = e[1:] == e[:-1]
         some = np.flatnonzero(np.append(same, False) | np.append(False, same))
-        e, key, k = e[some], key[order[some]], k[order[some]]
-        order = np.lexsort((key, e))
-        e, key, k = e[order], key[order], k[order]
-        once, _ = runs(e, key)
-        e, key, k = e[once], key[once], k[once]
-        begin, of = runs(e)
-        many = np.diff(np.append(begin, len(e)))[of] > 1
-        key, pivot, k = key[many], key[begin][of][many], k[many]
+        e, key, size = e[some], key[order[some]], size[order[some]].astype(np.int64)
+        order = np.lexsort((key, size, e))
+        e, key, size = e[order], key[order], size[order]
+        once, _ = runs(e, size, key)
+        e, key, size = e[once], key[once], size[once]
         if not len(key):
             return
-        order = np.lexsort((pivot, key))
-        key, pivot, k = key[order], pivot[order], k[order]
+        cut = np.append(True, (e[1:] != e[:-1]) | (size[1:] - size[:-1] > far))
+        begin, of = np.flatnonzero(cut), np.cumsum(cut) - 1
+        many = np.diff(np.append(begin, len(e)))[of] > 1
+        key, pivot, size = key[many], np.minimum.reduceat(key, begin)[of][many], size[many]
+        order = np.lexsort((size, pivot, key))
+        key, pivot, size = key[order], pivot[order], size[order]
         begin, _ = runs(key, pivot)
-        times = np.diff(np.append(begin, len(key)))
-        key, pivot, k = key[begin], pivot[begin], k[begin]
-        yield from sent(bucket_of(key, buckets), [(key, 6), (pivot, 6), (times.astype(np.uint64), 3), (k, 1)])
+        if len(begin):
+            times = np.diff(np.append(begin, len(key)))
+            columns = [key[begin], pivot[begin], times.astype(np.uint64), size[begin].astype(np.uint64)]
+            yield from sent(bucket_of(columns[0], SHORT_BITS, max(1, buckets // 4)), list(zip(columns, EDGE_WIDTHS, strict=True)))
 
     return by_bucket(rows, buckets, WIDTHS, stars, "bucket int, data binary")
 
 
-def regions(rows: DataFrame, buckets: int) -> DataFrame:
+def regions(rows: DataFrame, buckets: int, t: float) -> DataFrame:
     """(region, short): the pivots that each document needs to meet every similar one."""
 
-    def chosen(key: np.ndarray, pivot: np.ndarray, times: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def chosen(key: np.ndarray, pivot: np.ndarray, times: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((pivot, key))
-        key, pivot, times, k = (x[order] for x in (key, pivot, times, k))
+        key, pivot, times, size = (x[order] for x in (key, pivot, times, size))
         begin, _ = runs(key, pivot)
-        times = np.add.reduceat(times.astype(np.int64), begin)
-        key, pivot, k = key[begin], pivot[begin], unscaled(k[begin].astype(float))
+        times, size = np.add.reduceat(times.astype(np.int64), begin), np.minimum.reduceat(size, begin)
+        key, pivot = key[begin], pivot[begin]
         order = np.lexsort((times, key))
-        key, pivot, times, k = (x[order] for x in (key, pivot, times, k))
+        key, pivot, times, size = (x[order] for x in (key, pivot, times, size))
         begin, of = runs(key)
+        k = least_needed(np.minimum.reduceat(size, begin), t)[of]
         upto = np.cumsum(times)
         whole = np.add.reduceat(times, begin)
         upto -= (np.cumsum(whole) - whole)[of]
@@ -334,7 +352,7 @@ def regions(rows: DataFrame, buckets: int) -> DataFrame:
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(pivot[keep].astype(np.int64)), pa.array(key[keep].astype(np.int64))], names=["region", "short"])
 
-    return by_bucket(rows, buckets, EDGE_WIDTHS, chosen, "region long, short long")
+    return by_bucket(rows, max(1, buckets // 4), EDGE_WIDTHS, chosen, "region long, short long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -386,29 +404,29 @@ def plausible(rows: DataFrame, t: float) -> DataFrame:
             good = np.zeros(len(region), bool)
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if hi - lo > 1:
-                    good[lo:hi] = some_near([counts[j].as_buffer() if counts[j].is_valid else None for j in range(lo, hi)], size[lo:hi], t)
+                    good[lo:hi] = some_near([counts[j].as_buffer().to_pybytes() for j in range(lo, hi)], size[lo:hi], t)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(region[good]), pa.array(key[good])], names=["region", "key"])
 
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, key long")
 
 
-def some_near(cells: list, size: np.ndarray, t: float) -> np.ndarray:
+def some_near(cells: list[bytes], size: np.ndarray, t: float) -> np.ndarray:
     """Which sets may be similar to another one of these, by their counts in cells."""
-    if any(x is None for x in cells):
-        return np.ones(len(size), bool)
     order = np.argsort(size, kind="stable")
     n = size[order]
     good = np.zeros(len(n), bool)
     limit = (1 - t) / (1 + t)
     at = 0
     while at < len(n):  # rows whose partners have the same number of cells or more
-        m = len(cells[order[at]])
-        same = at
-        while same < len(n) and len(cells[order[same]]) == m:
-            same += 1
-        end = int(np.searchsorted(n, n[same - 1] / t + 1e-9, side="right"))
-        rows = np.array([np.frombuffer(cells[k], np.uint8).reshape(m, -1).sum(1, dtype=np.int16) for k in order[at:end]])
+        first = cell_counts(cells[order[at]])
+        m, counts, same = len(first), [first], at + 1
+        while at + len(counts) < len(n) and n[at + len(counts)] <= n[same - 1] / t + 1e-9:
+            own = cell_counts(cells[order[at + len(counts)]])
+            if len(own) == m and same == at + len(counts):
+                same += 1
+            counts.append(own.reshape(m, -1).sum(1, dtype=np.int32))
+        rows = np.array(counts)
         for i in range(same - at):
             far = int(np.searchsorted(n, n[at + i] / t + 1e-9, side="right")) - at
             if good[at + i] and good[at + i + 1 : at + far].all():
@@ -622,14 +640,11 @@ def joined(docs: DataFrame, n: int, t: float, max_region: int) -> tuple[DataFram
     rank = ranks(counted.filter(F.col("block").isNotNull()).select("block", "counts"))
     total = ids.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
-    edges = star_rows(bucket_rows(texts, rank, buckets, n, t), buckets)
-    members = staged(regions(edges, max(1, buckets // 4)), "regions")
+    members = staged(regions(star_rows(bucket_rows(texts, rank, buckets, n, t), buckets, t), buckets, t), "regions")
     coarse = ids.filter(F.col("cells").isNotNull()).select("short", "key", "size", "cells").dropDuplicates(["key"])
     several = members.groupBy("region").count().filter("count > 1").select("region")
     members = staged(plausible(members.join(several, "region").join(coarse, "short").select("region", "key", "size", "cells"), t), "members")
-    wanted = Sieve.of(members.select("key"), "key")
-    sets = whole_sets(texts, wanted, n).dropDuplicates(["key"])
-    sets = staged(sets.join(members.select("key").distinct(), "key", "left_semi"), "sets")
+    sets = whole_sets(texts, Sieve.of(members.select("key"), "key"), n).dropDuplicates(["key"])
     return ids.select("id", "key"), divide(members, sets, t, max_region), sets
 
 
