@@ -44,7 +44,7 @@ from ferrograph.llm.frames import Sieve, free, staged, without
 N = 2
 #: In the given tables similarities of unlike texts end below it, and those of near copies begin above (see the README).
 THRESHOLD = 0.6
-MAX_REGION = 3000
+MAX_REGION = 8000
 RANK_BITS = 18
 #: Elements that two similar sets must have in common, beyond one, as a share of the smaller set's grams, from a threshold on.
 MARGINS = ((0.7, 0.05), (0.0, 0.04))
@@ -105,8 +105,8 @@ def gram_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> Iterator[np.ndar
 
 
 def signature(own: np.ndarray, t: float) -> bytes:
-    """How many grams fall into each of about n / 6 cells (n / 3 at thresholds where those would tell too little), in half a byte each if all fit."""
-    m = 1 << max(5, (len(own) // (4 if t >= FEW_CELLS else 2)).bit_length() - 1)
+    """How many grams fall into each of n / 8 to n / 4 cells (n / 2.8 to n / 1.4 at thresholds where those would tell too little), in half a byte each if all fit."""
+    m = 1 << max(5, int(np.log2(len(own) / (4 if t >= FEW_CELLS else 1.4))))
     n = np.bincount((own >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m)
     if n.max() < 16:
         return b"h" + (n[::2] << 4 | n[1::2]).astype(np.uint8).tobytes()
@@ -391,30 +391,31 @@ def whole_sets(docs: DataFrame, wanted: Sieve, n: int) -> DataFrame:
 
 
 def plausible(rows: DataFrame, t: float) -> DataFrame:
-    """(region, key) of those that may be similar to another of their region: |x & y| is at most the sum over cells of the smaller count.
+    """(region, key) of those that may be similar to another of their region that is in no region before with them: |x & y| is at most the sum over cells of the smaller count.
 
-    rows: (region, key, size, cells).
+    rows: (region, all, key, size, cells); all has all regions of the key, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "region"):
             region, key, size = (table[c].to_numpy() for c in ("region", "key", "size"))
-            counts = table["cells"].combine_chunks()
+            counts, lists = table["cells"].combine_chunks(), table["all"].combine_chunks()
             first = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
             good = np.zeros(len(region), bool)
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if hi - lo > 1:
-                    good[lo:hi] = some_near([counts[j].as_buffer().to_pybytes() for j in range(lo, hi)], size[lo:hi], t)
+                    bits = before(int(region[lo]), [lists[j].values.to_numpy() for j in range(lo, hi)])
+                    good[lo:hi] = some_near([counts[j].as_buffer().to_pybytes() for j in range(lo, hi)], size[lo:hi], bits, t)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(region[good]), pa.array(key[good])], names=["region", "key"])
 
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, key long")
 
 
-def some_near(cells: list[bytes], size: np.ndarray, t: float) -> np.ndarray:
-    """Which sets may be similar to another one of these, by their counts in cells."""
+def some_near(cells: list[bytes], size: np.ndarray, bits: np.ndarray, t: float) -> np.ndarray:
+    """Which sets may be similar to another one of these with which they have no bit in common, by their counts in cells."""
     order = np.argsort(size, kind="stable")
-    n = size[order]
+    n, bits = size[order], bits[order]
     good = np.zeros(len(n), bool)
     limit = (1 - t) / (1 + t)
     at = 0
@@ -433,6 +434,8 @@ def some_near(cells: list[bytes], size: np.ndarray, t: float) -> np.ndarray:
                 continue
             apart = np.abs(rows[i + 1 : far] - rows[i]).sum(1, dtype=np.int64)
             near = np.flatnonzero(apart <= (n[at + i + 1 : at + far] + n[at + i]) * limit + 1e-6)
+            if len(near):
+                near = near[~(bits[at + i + 1 + near] & bits[at + i]).any(1)]
             if len(near):
                 good[at + i] = True
                 good[at + i + 1 + near] = True
@@ -582,8 +585,8 @@ def counted_links(keys: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[root[some]]), pa.array(links[some].astype(np.int64))], names=["key", "root", "links"])
 
 
-def divide(members: DataFrame, sets: DataFrame, t: float, most: int) -> DataFrame:
-    """(region, key), with regions over ``most`` documents divided by pivots of their own, as long as that helps, and into pairs of blocks then."""
+def divide(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: float, most: int) -> DataFrame:
+    """(region, key), with regions over ``most`` documents divided by pivots of their own, as long as that helps, and into pairs of blocks then. sets_of: (key, grams) of some keys at least."""
     done = None
     for level in range(12):
         size = members.groupBy("region").agg(F.count("*").alias("n"))
@@ -591,7 +594,8 @@ def divide(members: DataFrame, sets: DataFrame, t: float, most: int) -> DataFram
         if large.isEmpty():
             return members if done is None else done.unionByName(members)
         by = Window.partitionBy("region").orderBy(F.xxhash64("key", F.lit(level)), "key")
-        inside = members.join(large, "region")
+        inside = staged(members.join(large, "region"), "inside")
+        sets = staged(sets_of(inside.select("key")), "sets")
         chosen = inside.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= PIVOTS)
         pivots = chosen.join(sets, "key").groupBy("region").agg(F.collect_list(F.struct(F.col("key").alias("pivot"), "grams")).alias("pivots"))
         rows = inside.join(pivots, "region").join(sets.withColumnRenamed("grams", "own"), "key").select("region", "key", "own", "pivots")
@@ -643,9 +647,11 @@ def joined(docs: DataFrame, n: int, t: float, max_region: int) -> tuple[DataFram
     members = staged(regions(star_rows(bucket_rows(texts, rank, buckets, n, t), buckets, t), buckets, t), "regions")
     coarse = ids.filter(F.col("cells").isNotNull()).select("short", "key", "size", "cells").dropDuplicates(["key"])
     several = members.groupBy("region").count().filter("count > 1").select("region")
-    members = staged(plausible(members.join(several, "region").join(coarse, "short").select("region", "key", "size", "cells"), t), "members")
+    lists = members.join(several, "region").groupBy("short").agg(F.sort_array(F.collect_set("region")).alias("all"))
+    rows = coarse.join(lists, "short").select(F.explode("all").alias("region"), "all", "key", "size", "cells")
+    members = staged(plausible(rows, t), "members")
     sets = whole_sets(texts, Sieve.of(members.select("key"), "key"), n).dropDuplicates(["key"])
-    return ids.select("id", "key"), divide(members, sets, t, max_region), sets
+    return ids.select("id", "key"), divide(members, lambda keys: whole_sets(texts, Sieve.of(keys, "key"), n).dropDuplicates(["key"]), t, max_region), sets
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, t: float = THRESHOLD, max_region: int = MAX_REGION) -> DataFrame:
