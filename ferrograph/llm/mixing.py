@@ -15,25 +15,36 @@ can't all be met (a language of one source alone, say), the ridge term ``RIDGE``
 
 Defined cases: a null source or language is a source or language of its own. A source without a given target has weight 0, and
 its documents the rate 0. Null and empty texts have no tokens: they weigh nothing, and take the rate that a text of their
-source, language and length has. Without any token all rates are 1. Repeated rows are rounded alike.
+source, language and length has. Without any token all rates are 1. Repeated rows are rounded alike. Very long texts are
+counted whole. An empty table stays empty. Other columns pass through; where one has the name of a result column, ours gets
+underscores after its name. The rates are bounded by the number of pairs of source and language, not of rows: over ``MAX_CELLS``
+of these (hosts as sources, say) are refused with an error, as the dual's matrices wouldn't fit the driver.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ferrograph.llm import grams
-from ferrograph.llm.frames import free, staged, text_columns
+from ferrograph.llm.frames import batch_kernel, free, staged, text_columns
 
 TEMPER = 0.5
 RIDGE = 1e-7
 STEPS = 30
 PRECISION = 1e-7
+#: Where the dual ends with a larger gradient, a warning says so, and ``Rates.residual`` has it.
+TOLERANCE = 1e-4
+#: Sources and languages are told apart as they are up to so many cells of both; the driver's matrices hold that many rows.
+MAX_CELLS = 20_000
 
 
 def token_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray]:
@@ -51,8 +62,9 @@ class Rates:
     mean: float
     scale: float
     shares: dict
+    residual: float = 0.0
 
-    def column(self, spark, tokens: Column) -> Column:
+    def column(self, tokens: Column) -> Column:
         return F.least(F.greatest(self.slope * (F.log1p(tokens) - self.mean) / self.scale, F.lit(-60.0)), F.lit(60.0))
 
 
@@ -60,7 +72,9 @@ def solve(stats: DataFrame, weights: dict | None, temper: float = TEMPER) -> Rat
     """Newton's method on the dual. stats: (source, lang, t)."""
     z0 = F.log1p("t")
     t = F.col("t").cast("double")
-    first = stats.groupBy("source", "lang").agg(F.sum(t).alias("w"), F.sum(t * z0).alias("wz"), F.sum(t * z0 * z0).alias("wzz")).collect()
+    first = stats.groupBy("source", "lang").agg(F.sum(t).alias("w"), F.sum(t * z0).alias("wz"), F.sum(t * z0 * z0).alias("wzz")).limit(MAX_CELLS + 1).collect()
+    if len(first) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} pairs of source and language; group sources first")
     cells = sorted(((r["source"], r["lang"]) for r in first), key=lambda c: tuple((x is None, x or "") for x in c))
     at = {c: k for k, c in enumerate(cells)}
     base = np.zeros((len(cells), 3))
@@ -122,22 +136,44 @@ def solve(stats: DataFrame, weights: dict | None, temper: float = TEMPER) -> Rat
             break
         x = x - step * move
         value, grad, hess = new
+    residual = float(np.abs(grad).max())
+    if not residual <= TOLERANCE:
+        warnings.warn(f"mixing: constraints are missed by up to {residual:.3g} of all tokens; they may contradict each other", stacklevel=2)
     shift = np.where(out, -np.inf, np.clip(design @ x, -50, 50))
-    return Rates(cells, shift, float(x[-1]), mean, scale, dict(zip(sources, aim.tolist(), strict=True)))
+    return Rates(cells, shift, float(x[-1]), mean, scale, dict(zip(sources, aim.tolist(), strict=True)), residual)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", temper: float = TEMPER, all_rows: bool = True) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``rate`` and ``copies``; without all_rows, only the documents with a copy at least."""
-    spark, names = docs.sparkSession, docs.columns
+    """``docs`` with ``n_tokens``, ``rate`` and ``copies``; without all_rows, only the documents with a copy at least.
+
+    Rates are looked up by source and language in the pass that counts tokens; no text is shuffled.
+    """
+    names = docs.columns
     n_tokens, rate, copies = (free(names, n) for n in ("n_tokens", "rate", "copies"))
-    s, g, shift = (free([*names, n_tokens, rate, copies], n) for n in ("cell_source", "cell_lang", "cell_shift"))
+    row, shift = free([*names, n_tokens, rate, copies], "cell_key"), free([*names, n_tokens, rate, copies], "cell_rate")
     stats = text_columns(docs.select(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), "text", [("t", T.LongType())], token_counts, only=["source", "lang"])
     rates = solve(staged(stats, "tokens"), weights, temper)
-    cells = [(a, b, float(np.exp(x))) for (a, b), x in zip(rates.cells, rates.shift, strict=True)]
-    cell_rows = spark.createDataFrame(cells, f"`{s}` string, `{g}` string, `{shift}` double")
-    counted = text_columns(docs, text, [(n_tokens, T.LongType())], token_counts)
-    joined = counted.join(cell_rows, F.col(source).cast("string").eqNullSafe(F.col(s)) & F.col(lang).cast("string").eqNullSafe(F.col(g)), "left")
-    r = F.coalesce(F.col(shift), F.lit(1.0)) * F.exp(rates.column(spark, F.col(n_tokens)))
+    keyed = docs.withColumn(row, F.struct(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")))
+    counted = looked_up(keyed, text, row, n_tokens, shift, {c: float(np.exp(x)) for c, x in zip(rates.cells, rates.shift, strict=True)})
+    r = F.col(shift) * F.exp(rates.column(F.col(n_tokens)))
     share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text)), F.lit(1 << 40)) / float(1 << 40)
-    out = joined.withColumn(rate, r).withColumn(copies, F.floor(F.col(rate) + share).cast("long")).select(*names, n_tokens, rate, copies)
+    out = counted.withColumn(rate, r).withColumn(copies, F.floor(F.col(rate) + share).cast("long")).select(*names, n_tokens, rate, copies)
     return out if all_rows else out.filter(F.col(copies) > 0)
+
+
+def looked_up(docs: DataFrame, text: str, row: str, n_tokens: str, shift: str, cells: dict[tuple, float]) -> DataFrame:
+    """docs without ``row``, with numbers of tokens and each cell's factor (1 for a cell that isn't known)."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name != row] + [T.StructField(n_tokens, T.LongType()), T.StructField(shift, T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (tokens,) = batch_kernel(batch, text, token_counts, [pa.int64()])
+            cell = batch.column(row)
+            factor = [cells.get(c, 1.0) for c in zip(cell.field(0).to_pylist(), cell.field(1).to_pylist(), strict=True)]
+            columns = [batch.column(f.name) for f in list(arrow)[:-2]] + [tokens.combine_chunks(), pa.array(factor, pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
