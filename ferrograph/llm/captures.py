@@ -11,7 +11,10 @@ has com,example,a)/x?y. Files have names that no other attempt of a task takes,
 to, so a task that is repeated does no harm.
 
 Defined cases: a null url has no key and no capture. A null page is kept as null, an empty one as empty. Several captures of a
-key are all found, also over several blocks. Rows that repeat are captures of their own. A key without a capture gives no row.
+key are all found, also over several blocks; a key with more captures than a range has is still found whole, as ranges are cut by
+key and id. Rows that repeat are captures of their own. A key without a capture gives no row. Null ids stay null; ids of any type
+that a string keeps apart come back as they were. Very long pages are kept whole. An empty table gives an empty index. Only the
+three columns named are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ferrograph.llm.frames import shared_path, staged
 
 BLOCK = 256
+#: Entries to a range of keys, which one task sorts and writes, and keys that one task looks up, at most (about).
+RANGE = 8192
+LOOKUPS = 4096
 URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?"
 
 
@@ -43,9 +49,17 @@ def url_key(url: Column) -> Column:
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """Paths have a scheme always (see ``qualified``), so that executors and Spark mean the same place."""
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
+def qualified(spark, path: str) -> str:
+    """``path`` with the scheme that Spark gives it: that of fs.defaultFS, where it has none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def pack(raw: bytes) -> bytes:
     c = zlib.compressobj(1, zlib.DEFLATED, 31)
     return c.compress(raw) + c.flush()
@@ -116,7 +130,7 @@ def write_captures(pages: DataFrame, folder: str) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
-def write_blocks(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
+def write_blocks(entries: DataFrame, folder: str, block: int, parts: int) -> DataFrame:
     """The directory: (first, last, file, offset, length, entries) of each block."""
     columns = ["id", "url", "file", "offset", "length"]
 
@@ -127,7 +141,7 @@ def write_blocks(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFra
             while len(held) >= max(n, 1):
                 some = held[:block]
                 del held[:block]
-                data = zlib.compress("\n".join(json.dumps(x) for x in some).encode(), 6)
+                data = zlib.compress("\n".join(json.dumps(x, default=str) for x in some).encode(), 6)
                 found.append((some[0][0], some[-1][0], out.name, *out.write(data), len(some)))
 
         for batch in batches:
@@ -138,29 +152,30 @@ def write_blocks(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFra
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["first", "last", "file", "offset", "length", "entries"])
 
-    ordered = entries.repartitionByRange("key", F.col("id")).sortWithinPartitions("key", "id", "file", "offset")
+    ordered = entries.repartitionByRange(parts, "key", F.col("id")).sortWithinPartitions("key", "id", "file", "offset")
     return ordered.mapInArrow(run, "first string, last string, file string, offset long, length long, entries long")
 
 
 class Index:
     """Paths of the three parts: records, blocks and directory."""
 
-    def __init__(self, folder: str, directory: str, id_type: T.DataType):
-        self.folder, self.directory, self.id_type = folder, directory, id_type
+    def __init__(self, folder: str, directory: str, id_type: T.DataType, parts: int):
+        self.folder, self.directory, self.id_type, self.parts = folder, directory, id_type, parts
 
 
 def build(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", block: int = BLOCK) -> Index:
     spark = pages.sparkSession
-    folder, directory = shared_path(spark, "captures"), shared_path(spark, "directory")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    folder, directory = (qualified(spark, shared_path(spark, n)) for n in ("captures", "directory"))
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     entries = staged(write_captures(rows, folder), "entries")
-    write_blocks(entries, folder, block).write.parquet(directory)
-    return Index(folder, directory, pages.schema[id_col].dataType)
+    parts = max(1, -(-entries.count() // RANGE))
+    write_blocks(entries, folder, block, parts).write.parquet(directory)
+    return Index(folder, directory, pages.schema[id_col].dataType, parts)
 
 
 def lookup(index: Index, keys: DataFrame) -> DataFrame:
     """The captures of all ``key`` of keys: ``url_key, page_id, url, html``."""
-    schema = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("page_id", index.id_type), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
+    schema = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
     arrow = to_arrow_schema(schema)
     folder, place = index.folder, index.directory
 
@@ -191,8 +206,10 @@ def lookup(index: Index, keys: DataFrame) -> DataFrame:
             if out:
                 yield rows_of(out, arrow)
 
-    asked = keys.select("key").filter(F.col("key").isNotNull()).distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return asked.mapInArrow(run, schema)
+    asked = staged(keys.select("key").filter(F.col("key").isNotNull()).distinct(), "asked")
+    parts = max(1, min(index.parts, -(-asked.count() // LOOKUPS)))
+    found = asked.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return found.withColumn("page_id", F.col("page_id").cast(index.id_type))
 
 
 def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
