@@ -7,10 +7,17 @@ pre-token can't depend on what was edited, since the pattern looks at most two c
 after the edit meets an old one (the pattern never looks back). The new pre-tokens go into the first leaf touched, the others
 are emptied, and the sums above them are updated.
 
+``with_trees`` keeps the trees in a table, and ``apply_edits`` takes such a table and edits: it encodes no more than the regions
+that edits touch, and passes documents without edits on as they are. ``count_redacted`` and ``count_edited`` are for texts of
+which no tree is kept.
+
 The vocabulary is read where it lies; its path is a parameter. Counts are those of encoding the text as ordinary text.
 
 Defined cases: a null or empty text has no pre-token and no token. Edits are applied one after the other, each to the text that
-those before it left; places beyond the end mean the end. Rows with the same id are counted each by itself.
+those before it left, in the order of their steps (ties by place, then replacement); places beyond the end mean the end, null
+places the beginning, a null replacement nothing. Rows with the same id are counted each by itself, and get the same edits;
+rows of a null id get none. Very long texts are taken whole, in time that grows with their length alone. Without rows there are
+none in the result. Other columns pass through; where one has the name of a result column, ours gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -21,13 +28,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ferrograph.llm.frames import free
+from ferrograph.llm.frames import Sieve, free, staged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,12 +45,14 @@ MAX_CACHED = 1 << 18
 
 #: What is taken out of texts before they are counted as training data: (kind, pattern).
 PERSONAL = (
-    ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
+    ("email", r"(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+"),
     ("secret", r"\b(?:sk|pk|ghp|AKIA|xox[bp])[-_A-Za-z0-9]{12,}\b|\b[0-9a-f]{32,}\b"),
     ("address", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
     ("phone", r"(?<!\w)\+?\d[\d ()./-]{7,16}\d(?!\w)"),
 )
 FIND = regex.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PERSONAL))
+#: Found in every text in which ``FIND`` finds anything; in Arrow's linear syntax, which looks through a whole batch at once.
+MAY_FIND = r"@|\p{Nd}[\p{Nd} ()./-]{7,16}\p{Nd}|\p{Nd}\.\p{Nd}|(?:sk|pk|ghp|AKIA|xox[bp])[-_A-Za-z0-9]{12}|[0-9a-f]{32}"
 
 
 @functools.cache
@@ -144,6 +154,10 @@ def tree(text: str, count: Callable[[str], int]) -> Tree:
     return Tree(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(count, pieces), np.int64, len(pieces)))
 
 
+def may_be_personal(texts: pa.Array) -> list[bool]:
+    return pc.fill_null(pc.match_substring_regex(texts, MAY_FIND), False).to_pylist()
+
+
 def personal(text: str) -> list[tuple[int, int, str]]:
     """Edits that replace personal data and secrets, from the last to the first."""
     return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in FIND.finditer(text)][::-1]
@@ -167,7 +181,7 @@ def counted(rows: DataFrame, text: str, keep: list[str], edits_of: Callable[[pa.
                 now = value.as_py() or ""
                 own = tree(now, count)
                 before, again, n, pieces = own.total, 0, 0, own.leaves if now else 0
-                for start, end, new in edits if edits is not None else personal(now):
+                for start, end, new in edits(now) if callable(edits) else edits:
                     now, cut = own.edit(now, start, end, new, count)
                     again += cut
                     n += 1
@@ -183,32 +197,73 @@ def count_redacted(docs: DataFrame, text: str = "text", vocabulary: str = VOCABU
     """Columns ``keep`` of docs (all by default) with the counts before and after personal data and secrets are taken out."""
     keep = docs.columns if keep is None else keep
     rows = docs.select(*dict.fromkeys([*keep, text]))
-    return counted(rows, text, keep, lambda batch: (None for _ in range(batch.num_rows)), vocabulary, docs.columns)
+
+    def of(batch: pa.RecordBatch) -> Iterator:
+        yield from (personal if some else () for some in may_be_personal(batch.column(text)))
+
+    return counted(rows, text, keep, of, vocabulary, docs.columns)
+
+
+def edit_lists(edits: DataFrame, id_col: str, key: str, name: str) -> DataFrame:
+    """(key, name): each document's edits, in order."""
+    row = F.struct("step", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("replacement", F.lit("")).alias("new"))
+    return edits.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(row)).alias(name))
+
+
+def edits_in(column: pa.Array) -> Iterator[list[tuple[int, int, str]]]:
+    for x in column:
+        yield [(e["start"] or 0, e["end"] or 0, e["new"]) for e in x.as_py() or []]
 
 
 def count_edited(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """All columns of docs with the counts before and after ``edits`` (id, step, start, end, replacement), applied by step."""
     name, key = free(docs.columns, "edit_list"), free(docs.columns, "edit_id")
-    row = F.struct("step", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("replacement", F.lit("")).alias("new"))
-    lists = edits.groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(row)).alias(name))
-    rows = docs.join(lists, docs[id_col] == lists[key], "left").drop(key)
+    rows = docs.join(edit_lists(edits, id_col, key, name), F.col(id_col) == F.col(key), "left").drop(key)
+    return counted(rows, text, docs.columns, lambda batch: edits_in(batch.column(name)), vocabulary, rows.columns)
+
+
+def apply_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text: str = "text", tree: str = "token_tree", tokens: str = "token_count", vocabulary: str = VOCABULARY) -> DataFrame:
+    """A table of ``with_trees`` after ``edits`` (id, step, start, end, replacement): new text, tree and count, and ``encoded_again``, how many pre-tokens had to be encoded.
+
+    Only documents that may have edits are joined with them, and only those with edits are read.
+    """
+    name, key, again = free(docs.columns, "edit_list"), free(docs.columns, "edit_id"), free(docs.columns, "encoded_again")
+    lists = staged(edit_lists(edits.select(id_col, "step", "start", "end", "replacement"), id_col, key, name), "edits")
+    maybe = Sieve.of(lists.select(F.xxhash64(key).alias("h")), "h").may_have(F.xxhash64(id_col))
+    rows = docs.filter(maybe).join(lists, F.col(id_col) == F.col(key), "left").drop(key)
+    schema = T.StructType([*docs.schema.fields, T.StructField(again, T.LongType())])
+    arrow = to_arrow_schema(schema)
 
-    def of(batch: pa.RecordBatch) -> Iterator[list]:
-        for x in batch.column(name):
-            yield [(e["start"] or 0, e["end"] or 0, e["new"]) for e in x.as_py() or []]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(vocabulary)
+        for batch in batches:
+            out = []
+            for now, raw, edits in zip(batch.column(text).to_pylist(), batch.column(tree), edits_in(batch.column(name)), strict=True):
+                own, cut, now = Tree.from_bytes(raw.as_buffer().to_pybytes()), 0, now or ""
+                for start, end, new in edits:
+                    now, n = own.edit(now, start, end, new, count)
+                    cut += n
+                out.append((now, own.to_bytes(), own.total, cut))
+            if out:
+                new = dict(zip((text, tree, tokens, again), (pa.array(c) for c in zip(*out, strict=True)), strict=True))
+                yield pa.RecordBatch.from_arrays([(new[f.name] if f.name in new else batch.column(f.name)).cast(f.type) for f in arrow], schema=arrow)
 
-    return counted(rows, text, docs.columns, of, vocabulary, rows.columns)
+    done = rows.filter(F.col(name).isNotNull()).mapInArrow(run, schema)
+    same = lambda df: df.select(*docs.columns, F.lit(0).cast("long").alias(again))
+    return same(docs.filter(~maybe)).unionByName(same(rows.filter(F.col(name).isNull()))).unionByName(done)
 
 
 def with_trees(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """All columns of docs with ``token_tree``, the leaves of each document's tree, to be kept in a table."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(free(docs.columns, "token_tree"), T.BinaryType())])
+    """All columns of docs with ``token_tree``, the leaves of each document's tree, and ``token_count``, to be kept in a table."""
+    fields = [T.StructField(free(docs.columns, "token_tree"), T.BinaryType()), T.StructField(free(docs.columns, "token_count"), T.LongType())]
+    schema = T.StructType([*docs.schema.fields, *fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for batch in batches:
-            trees = pa.array([tree(x.as_py() or "", count).to_bytes() for x in batch.column(text)], pa.binary())
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, trees], arrow, strict=True)], schema=arrow)
+            trees = [tree(x.as_py() or "", count) for x in batch.column(text)]
+            new = [pa.array([t.to_bytes() for t in trees], pa.binary()), pa.array([t.total for t in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *new], arrow, strict=True)], schema=arrow)
 
     return docs.mapInArrow(run, schema)

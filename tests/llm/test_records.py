@@ -78,6 +78,65 @@ def test_edit_tables_and_real_tokens(spark):
     assert tiktoken and tokencount.with_trees(docs).count() == 4 and tokencount.count_redacted(docs.filter("false")).count() == 0
 
 
+def test_edits_of_stored_trees_encode_little(spark, tmp_path):
+    count = tokencount.counter(tokencount.VOCABULARY)
+    full = lambda t: sum(map(count, tokencount.CUT.findall(t or "")))
+    rng = random.Random(8)
+    docs = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 400))), "x") for k in range(60)] + [(100, None, "x"), (101, "", "x"), (102, "w " * 60_000, "x"), (None, "no id", "x"), (5, "again", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, ENCODED_AGAIN string")
+    tokencount.with_trees(df).write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    edits = [(k, step, rng.randint(0, 300), rng.randint(0, 320), rng.choice(["", "new words", "'s", None])) for k in [*range(0, 60, 3), 5, 100, 101, 102, 999] for step in range(3)] + [(None, 1, 0, 3, "")]
+    got = tokencount.apply_edits(kept, spark.createDataFrame(edits, "doc_id long, step int, start int, end int, replacement string"))
+    assert got.columns == [*kept.columns, "encoded_again_"]
+    rows = got.collect()
+    want = []
+    for k, text, _ in docs:
+        for _, _, a, b, new in sorted((e for e in edits if e[0] is not None and e[0] == k), key=lambda e: (e[1], e[2], e[3], e[4] or "")):
+            text = text or ""
+            a = min(a, len(text))
+            text = text[:a] + (new or "") + text[max(a, b) :]
+        want.append((str(k), text or "", full(text)))
+    assert sorted((str(r.doc_id), r.text or "", r.token_count) for r in rows) == sorted(want)
+    assert all(tokencount.Tree.from_bytes(r.token_tree).total == r.token_count for r in rows)
+    by = {r.doc_id: r[-1] for r in rows}
+    assert 0 < by[102] <= 40 and by[1] == 0
+
+
+def test_redaction_of_long_unbroken_texts_is_quick():
+    import time
+
+    import pyarrow as pa
+
+    count = tokencount.counter(tokencount.VOCABULARY)
+    for text in ("x" * 1_000_000, "a.b" * 300_000, "1 " * 400_000, "x@" * 300_000, "f" * 20 + "-0" * 300_000):
+        began = time.time()
+        assert tokencount.may_be_personal(pa.array([text])) and len(tokencount.personal(text)) < 200_000
+        assert time.time() - began < 5
+    began = time.time()
+    assert tokencount.tree("x" * 1_000_000, count).total > 0 and time.time() - began < 5
+
+
+def test_what_may_be_personal_holds_all_that_is():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    parts = ["a@b.de", "é@x.org", "10.0.0.1", "+49 170 1234567", "sk-abcdefghijkl1", "AKIA0123456789AB", "0123456789abcdef" * 2, "٣٤٥٦٧٨٩٠١٢", "1.2", "word", "@", "12"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 3))) for _ in range(500)]
+    for text, may in zip(texts, tokencount.may_be_personal(pa.array(texts))):
+        assert may or not tokencount.personal(text)
+
+
+def test_captures_with_ids_of_other_types(spark):
+    import datetime
+    from decimal import Decimal
+
+    for value, kind in (("a b", "string"), (Decimal("1.50"), "decimal(10,2)"), (datetime.date(2020, 2, 3), "date")):
+        pages = spark.createDataFrame([(value, "http://a.b/c", "v", 1), (None, "http://a.b/d", "w", 2)], f"page_id {kind}, url string, html string, KEY int")
+        got = captures.lookup(captures.build(pages), spark.createDataFrame([("b,a)/c",), ("b,a)/d",)], "key string")).collect()
+        assert {(r.page_id, r.html) for r in got} == {(value, "v"), (None, "w")}
+
+
 def by_hand(chosen, rejected):
     n = 0
     while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
