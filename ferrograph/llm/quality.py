@@ -6,7 +6,9 @@ smallest hashes of their ids), probabilities are calibrated on a quarter of them
 is scored over its whole text in one Arrow pass without a shuffle.
 
 Defined cases: a null or empty text, or one without any feature, has probability 0 and is rejected. Rows with the same id are
-scored each by itself. A label of a repeated id counts once, as the worse one; null labels count for nothing. Without labels
+scored each by itself. A label of a repeated id counts once, as the worse one, with the smallest of the id's texts; null labels
+count for nothing. Equal probabilities are treated alike; one at a threshold is kept. Very long texts are scored whole. An empty
+table stays empty. Without labels
 of both kinds nothing can be told apart, and all texts that aren't empty are kept, with probability 1. Other columns pass
 through; if one has the name of a result column, ours gets underscores after its name.
 """
@@ -83,8 +85,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: st
         .groupBy(key).agg(F.min(y).alias(y)).orderBy(F.xxhash64(key), key).limit(most)
     )
     texts = docs.select(F.col(id_col).alias(key), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(chosen), key).collect()  # chosen has at most ``most`` rows
-    return sorted({(r["id"], r["text"], r["y"]) for r in found})[:most]
+    found = texts.join(F.broadcast(chosen), key).groupBy(key, y).agg(F.min("text").alias("text")).collect()  # chosen has at most ``most`` rows, and so has the result
+    return sorted((r["id"], r["text"], r["y"]) for r in found)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_train_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> Model | None:

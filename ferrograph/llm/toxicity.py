@@ -6,7 +6,10 @@ abuse next to a form of address, several different abusive words, shouting, poli
 
 The label model is a tree-augmented naive Bayes model of the votes, given the unseen class: expectation-maximisation over the
 counts of all distinct vote patterns in the corpus estimates each voter's accuracy, and pairs of voters that depend on each
-other given the class are joined in a maximum spanning tree, so that what two of them share counts once. Its posteriors are
+other given the class are joined in a maximum spanning tree, so that what two of them share counts once. The labelled sample
+says which class is which: its votes, scaled to ``SEED_SHARE`` of the corpus, are counted with their labels in every step, so
+voters begin with their accuracies on the sample and keep them as a prior. A voter that doesn't vote says nothing, as lexicons
+that don't know a word aren't evidence against it. The model's posteriors are
 the soft labels for a logistic regression over hashed words and word beginnings; an L1 step leaves a weight only to features
 that tell something. The classifier scores every document over its whole text.
 
@@ -14,8 +17,9 @@ Bounds: the lexicons are induced from at most ``MAX_LABELLED`` labelled rows, an
 ``MAX_TRAIN_ROWS`` documents of each class, chosen by the hash of their text. Counts of vote patterns cover all documents.
 
 Defined cases: a null or empty text has probability 0 and isn't toxic. Rows with the same id are judged each by itself.
-Without labels only the fixed lexicons and patterns vote; if no document gets a toxic label, none is toxic. Other columns pass
-through; if one has the name of a result column, ours gets underscores after its name.
+Without labels only the fixed lexicons and patterns vote, and a majority of them starts the label model; if no document gets a
+toxic label, none is toxic. Ties of the majority count as unlikely to be toxic. Very long texts are scored whole. An empty table
+stays empty. Other columns pass through; if one has the name of a result column, ours gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ from ferrograph.llm.quality import sample
 
 MAX_LABELLED = 6000
 MAX_TRAIN_ROWS = 3000
+#: The labelled sample counts for so much of the corpus in the label model.
+SEED_SHARE = 0.5
+#: Voters are copies of each other, before anything is fitted, if so much of the information in one is in the other.
+SAME_VOTER = 0.9
 #: Bytes of the word beginnings that are features and may enter a lexicon.
 HEADS = (4, 5, 6)
 BITS = 20
@@ -231,7 +239,7 @@ class LabelModel:
         log = np.tile(np.log(self.prior), (len(v), 1))
         for j in range(v.shape[1]):
             up = v[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(v), int)
-            log += np.log(self.table[j][:, up, v[:, j]].T)
+            log += np.where(v[:, j, None] > 0, np.log(self.table[j][:, up, v[:, j]].T), 0)
         return linear.sigmoid(log[:, 1] - log[:, 0])
 
     def accuracy(self) -> np.ndarray:
@@ -258,25 +266,50 @@ def tables(v: np.ndarray, weight: np.ndarray, q: np.ndarray, parent: list[int])
     flat = out.sum(2, keepdims=True)
     flat = (flat + 0.1) / (flat.sum(3, keepdims=True) + 0.3)
     out = out + flat  # votes of a parent that never came with the class say what the voter says on the whole
+    out[:, :, :1] = flat  # and so does a parent that doesn't vote
     return prior, out / out.sum(3, keepdims=True)
 
 
-def fit_label_model(v: np.ndarray, weight: np.ndarray, steps: int = 40, dependent: float = 0.002) -> LabelModel:
-    """Expectation-maximisation from a majority vote; the tree joins voters whose information about each other, given the class, is over ``dependent`` nats."""
+def fit_label_model(v: np.ndarray, weight: np.ndarray, steps: int = 40, dependent: float = 0.002, seed: tuple[np.ndarray, np.ndarray] | None = None) -> LabelModel:
+    """Expectation-maximisation; the tree joins voters whose information about each other, given the class, is over ``dependent`` nats.
+
+    seed: votes and classes of labelled rows, from which it starts; without, it starts from a majority vote in which outright copies of a voter don't count.
+    """
     m = v.shape[1]
-    up, down = (v == 2).sum(1), (v == 1).sum(1)
+    parent, order = copies_of(v, weight)
+    alone = [j for j in range(m) if parent[j] < 0]
+    up, down = (v[:, alone] == 2).sum(1), (v[:, alone] == 1).sum(1)
     q = np.where(up > down, 0.9, np.where(up < down, 0.05, 0.3))
-    parent, order = [-1] * m, list(range(m))
+    rows, mass, known = v, weight, np.zeros(0)
+    if seed is not None and 0 < seed[1].sum() < len(seed[1]):
+        known = seed[1].astype(float)
+        rows, mass = np.concatenate([v, seed[0]]), np.concatenate([weight, np.full(len(known), SEED_SHARE * weight.sum() / len(known))])
+        q = LabelModel(parent=parent, order=order, **dict(zip(("prior", "table"), tables(seed[0], np.ones(len(known)), known, parent), strict=True))).posterior(v)
     model = None
     for step in range(steps):
+        whole = np.concatenate([q, known])
         if step == steps // 3:
-            parent, order = tree(v, weight, q, dependent)
-        prior, table = tables(v, weight, q, parent)
+            parent, order = tree(rows, mass, whole, dependent)
+        prior, table = tables(rows, mass, whole, parent)
         model = LabelModel(prior, parent, order, table)
         q = model.posterior(v)
     return model
 
 
+def copies_of(v: np.ndarray, weight: np.ndarray) -> tuple[list[int], list[int]]:
+    """Each voter's parent among those before it, where it is no more than a copy, and an order in which parents come first."""
+    m = v.shape[1]
+    parent = [-1] * m
+    for j in range(m):
+        for i in range(j):
+            p = np.bincount(v[:, i] * 3 + v[:, j], weights=weight, minlength=9).reshape(3, 3) / max(1e-12, weight.sum())
+            entropy = lambda x: -float((x[x > 0] * np.log(x[x > 0])).sum())
+            own, other = entropy(p.sum(0)), entropy(p.sum(1))
+            if parent[j] < 0 and min(own, other) > 0 and own + other - entropy(p) >= SAME_VOTER * max(own, other):
+                parent[j] = i
+    return parent, list(range(m))
+
+
 def tree(v: np.ndarray, weight: np.ndarray, q: np.ndarray, dependent: float) -> tuple[list[int], list[int]]:
     m, whole = v.shape[1], weight.sum()
     info = np.zeros((m, m))
@@ -334,7 +367,8 @@ def presence(texts: list[str]) -> linear.Rows:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
-    own = voters(sample(docs, labels, id_col, text, label, max_labelled))
+    known = sample(docs, labels, id_col, text, label, max_labelled)
+    own = voters(known)
     rows = docs.select(F.col(text).alias("text"))
 
     def voting(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,7 +382,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return none
     v = unpack(patterns["yes"].to_numpy(np.uint64), patterns["no"].to_numpy(np.uint64), len(own.names))
     n = patterns["count"].to_numpy(float)
-    model = fit_label_model(v, n)
+    told = [own.votes(*grams.text_bytes(pa.array([r[1]], pa.large_string()))) for r in known]
+    seed = unpack(np.array([t[0][0] for t in told], np.uint64), np.array([t[1][0] for t in told], np.uint64), len(own.names)), np.array([r[2] > 0 for r in known])
+    model = fit_label_model(v, n, seed=seed if known else None)
     q = model.posterior(v)
     toxic = n[q >= 0.5].sum()
     if not toxic:

@@ -1,6 +1,8 @@
 """Text kernels, quality, toxicity and languages."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +106,93 @@ def test_toxicity_on_held_out_labels(spark, corpus):
     assert np.mean(hit) > 0.9 and np.mean(false) < 0.03
 
 
+def test_label_model_finds_the_good_voter():
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    good = np.where(rng.random(4000) < 0.95, y, ~y)
+    fair = np.where(rng.random(4000) < 0.8, y, ~y)
+    copy = fair.copy()
+    v = np.where(np.stack([good, fair, copy, np.where(rng.random(4000) < 0.75, y, ~y)], 1), 2, 1)
+    model = toxicity.fit_label_model(v, np.ones(4000), steps=60)
+    assert model.parent[2] == 1 or model.parent[1] == 2  # the copy is told apart from a second opinion
+    majority = (v == 2).sum(1) > 2
+    assert np.mean((model.posterior(v) > 0.5) == y) > max(0.85, np.mean(majority == y))
+
+
+def test_posteriors_are_those_of_a_plain_product():
+    rng = np.random.default_rng(6)
+    parent = [-1, 0, 1, 0, -1]
+    table = rng.random((5, 2, 3, 3)) + 0.05
+    model = toxicity.LabelModel(np.array([0.7, 0.3]), parent, list(range(5)), table / table.sum(3, keepdims=True))
+    v = list(itertools.product(range(3), repeat=5))
+    want = []
+    for votes in v:
+        p = list(model.prior)
+        for c in range(2):
+            for j, vote in enumerate(votes):
+                if vote:  # who doesn't vote says nothing
+                    p[c] *= model.table[j, c, votes[parent[j]] if parent[j] >= 0 else 0, vote]
+        want.append(p[1] / sum(p))
+    assert np.allclose(model.posterior(np.array(v)), want)
+
+
+def test_a_labelled_sample_says_which_class_is_which():
+    rng = np.random.default_rng(4)
+    y = rng.random(5000) < 0.1
+    loud = rng.random(5000) < 0.3  # says nothing about the class, but three voters hear it
+    hears = lambda: np.where(loud & (rng.random(5000) < 0.95), 2, 0)
+    knows = lambda: np.where(np.where(rng.random(5000) < 0.9, y, False), 2, 0)
+    v = np.stack([hears(), hears(), hears(), knows(), knows()], 1)
+    model = toxicity.fit_label_model(v, np.ones(5000), seed=(v[:200], y[:200]))
+    found = model.posterior(v) > 0.5
+    assert np.mean(found[y]) > 0.95 and np.mean(found[~y]) < 0.02
+
+
+def test_toxicity_against_a_plain_version(spark, corpus):
+    """Votes by scans of words, posteriors and scores by loops over documents."""
+    docs, labels = corpus
+    model = toxicity.train(docs, labels)
+    names = model.voters.names
+    rows = docs.collect()
+    for r in rows[:60]:
+        words = re.findall("[0-9a-zA-Z\x80-\U0010ffff]+", r.text)
+        yes, no = model.voters.votes(*chunk([r.text]))
+        for name, terms in toxicity.ABUSE.items():
+            assert bool(int(yes[0]) >> names.index(name) & 1) == any(w.lower() in terms.split() for w in words), name
+        letters = "".join(words)
+        assert bool(int(yes[0]) >> names.index("shouting") & 1) == (len(letters.encode()) >= 40 and sum(c.isascii() and c.isupper() for c in letters) > 0.6 * len(letters.encode()))
+        seen = set()
+        for w in words:
+            for part in [w.lower().encode()] + [w.lower().encode()[:n] for n in toxicity.HEADS if len(w.encode()) > n]:
+                h = grams.span_hash(grams.prefix_sums(np.frombuffer(part, np.uint8)), np.array([0]), np.array([len(part)]))[0]
+                seen.add(int((h if part == w.lower().encode() else h ^ np.uint64(len(part))) >> np.uint64(64 - toxicity.BITS)))
+        total = model.bias + sum(float(model.weights[f]) for f in seen)
+        got = model.scores(*chunk([r.text]))[0]
+        assert np.isclose(got, 1 / (1 + np.exp(-total)), atol=1e-5)
+
+
+def test_quality_against_a_plain_version(corpus):
+    """Scores by loops over words, pairs and runs of bytes."""
+    texts = [r.text for r in corpus[0].limit(40).collect()] + ["Ünder the the house", "ab", "x"]
+    rng = np.random.default_rng(0)
+    model = quality.Model(rng.normal(size=3 << quality.BITS).astype(np.float32), 0.1, 1.3, -0.2)
+    shift = 64 - quality.BITS
+    got = quality.scorer(model, 0.35, 0.9)(*chunk(texts))
+    for text, p, keep in zip(texts, got[0], got[2]):
+        h = [int(x) for x in grams.words(*chunk([text]))[0]]
+        parts = [[x >> shift for x in h], [], []]
+        for a, b in zip(h, h[1:]):
+            pair = int(quality.SAME_PAIR) if a == b else int(grams.mix(np.array([a * grams.BASE + b & 2**64 - 1], np.uint64))[0])
+            parts[1].append((pair >> shift) + (1 << quality.BITS))
+        raw = text.encode()
+        for k in range(len(raw) - quality.CHAR_N + 1):
+            g = int(grams.mix(np.array([int.from_bytes(raw[k : k + quality.CHAR_N], "little")], np.uint64))[0])
+            parts[2].append((g >> shift) + (2 << quality.BITS))
+        total = model.bias + sum(sum(float(model.weights[f]) for f in part) / max(1, len(part)) for part in parts)
+        want = 1 / (1 + np.exp(-(model.a * total + model.b)))
+        assert np.isclose(p, want, atol=1e-5) and keep == (p >= 0.35 - 1e-6)
+
+
 def test_label_model_ranks_voters_and_joins_dependent_ones():
     rng = np.random.default_rng(1)
     y = rng.random(20000) < 0.2
@@ -159,6 +248,15 @@ def test_mixture_against_plain_loops():
         assert np.allclose(s, share[d]) and np.isclose(np.log((p * s).sum(1)).sum(), total[d])
 
 
+def test_languages_of_odd_rows(spark, corpus):
+    names, table = languages.train(corpus[0])
+    rows = odd(spark).withColumnRenamed("Quality_Keep", "LANGUAGE")
+    got = languages.identify(rows, names, table)
+    assert got.columns[-4:] == ["language_", "languages", "shares", "segments"] and got.count() == len(ODD)
+    assert {r.doc_id: r.languages for r in got.collect() if r.doc_id in (1, 2, 4)} == {1: [], 2: [], 4: []}
+    assert languages.identify(rows.filter("false"), *languages.train(corpus[0].filter("false"))).count() == 0
+
+
 def test_languages_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert languages.identify(rows, *languages.train(rows)).collect()[0].languages == []
