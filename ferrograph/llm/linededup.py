@@ -17,10 +17,15 @@ repeat by chance, and the fewer the longer the line, down to two from ``CHANCE *
 than ``MIN_DOCS``, only documents with ``FIRM`` of their words in other leaves count, as edits can make less than that unlike. Of a recurring template the first line stays (by document id, then
 place) with the texts equal to its own; all others go.
 
-Lines travel once, sorted by leaf, and texts once, joined with the numbers of their dropped lines by a hash of the text.
+Each task first sums up the lines that are equal but for variable fields: how many there are, their first place, and the sketches
+that tell whether they recur. Of more than ``FEW_SKETCHES`` those go that add no evidence, and all once the line is certain to
+recur. Only these sums travel, sorted by leaf, so that a line that a third of all documents hold is one row from each task. The
+masked lines of recurring templates come back; a second look at the texts finds their places, which a join settles exactly, in
+``SALTS`` parts of each line. Only texts that lose lines are shuffled.
 
 Defined cases: null texts stay null and empty texts empty. Lines of white space alone are never dropped. Rows with the same id
-or text are treated alike. Null ids come last. Other columns pass through; result columns of a name that is there already get
+or text are treated alike; a text is known by 96 bits of hashes. Null ids come last. Very long texts and lines are taken whole, and an
+empty table gives an empty one. Other columns pass through; result columns of a name that is there already get
 underscores after theirs.
 """
 
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ferrograph.llm import grams
-from ferrograph.llm.frames import free, staged
+from ferrograph.llm.frames import Sieve, free, staged
 from ferrograph.llm.jaccard import groups
 
 LEAD = 3
@@ -51,6 +57,12 @@ BINS = 64
 COPY = 0.4
 KIN = 0.5
 KIN_KEPT = 64
+#: Sketches of a line that a task gathers before it drops those that add nothing, and masked lines and their characters that it holds before it sends them.
+FEW_SKETCHES = 96
+HELD = 100_000
+HELD_CHARS = 1 << 25
+SALTS = 8
+WIDTH = BINS // 2 + 1
 OUTSIDE = 0.1
 FIRM = 0.25
 #: Lines and rows whose sketches are unpacked at a time.
@@ -59,13 +71,18 @@ FIELD = "<*>"
 DIGIT = re.compile(r"\d")
 
 
-def masked(tokens: list[str]) -> tuple[str, ...]:
-    return tuple(FIELD if DIGIT.search(t) else t for t in tokens)
+def masked(line: str) -> list[str]:
+    return [FIELD if DIGIT.search(t) else t for t in line.split()] if DIGIT.search(line) else line.split()
 
 
 def leaf(tokens: list[str], lead: int) -> int:
-    text = f"{len(tokens)} {' '.join(masked(tokens[:lead]))}"
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    return xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(tokens[:lead])}") - (1 << 63)
+
+
+def line_hash(line: str) -> tuple[int, int]:
+    """128 bits of a masked line."""
+    h = xxhash.xxh3_128_intdigest(line)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def templates(lines: dict[tuple[str, ...], int], lead: int, similar: float) -> list[list[tuple[str, ...]]]:
@@ -147,32 +164,45 @@ def agree(rows: np.ndarray, one: np.ndarray, share: float) -> np.ndarray:
     return ((rows == one) & (one > 0)).sum(1) >= share * ((rows > 0) | (one > 0)).sum(1)
 
 
-def apart(packed: np.ndarray, most: int) -> int:
-    """How many of the documents with these sketches are no copies of those before, up to ``most``."""
+def clusters(packed: np.ndarray, most: int) -> list[list[int]]:
+    """Rows that stand for documents which are no copies of those before, up to ``most``, each with those by which its copies are told."""
     found: list[list[np.ndarray]] = []
+    rows: list[list[int]] = []
     for lo in range(0, len(packed), BLOCK):
         rest = np.stack([packed[lo : lo + BLOCK] >> 4, packed[lo : lo + BLOCK] & 15], 2).reshape(-1, BINS)
-        rest, k = rest[rest.any(1)], 0
+        at = lo + np.flatnonzero(rest.any(1))
+        rest, k = rest[at - lo], 0
         while len(rest):
             if k == len(found):
                 found.append([rest[0]])
+                rows.append([int(at[0])])
                 if len(found) == most:
-                    return most
+                    return rows
             kin = found[k]
             near = agree(rest, kin[0], COPY)
-            kin += list(rest[near][: KIN_KEPT + 1 - len(kin)])
-            rest = rest[~near]
+            room = KIN_KEPT + 1 - len(kin)
+            kin += list(rest[near][:room])
+            rows[k] += at[near][:room].tolist()
+            rest, at = rest[~near], at[~near]
             for one in kin[1:]:
                 if not len(rest):
                     break
-                rest = rest[~agree(rest, one, KIN)]
+                other = ~agree(rest, one, KIN)
+                rest, at = rest[other], at[other]
             k += 1
-    return len(found)
+    return rows
 
 
-def recurs(sketch: np.ndarray, need: int, min_docs: int) -> bool:
-    firm = sketch[:, -1] > 0
-    return apart(sketch[firm, :-1], need) >= need or len(sketch) >= min_docs and apart(sketch[:, :-1], min_docs) >= min_docs
+def evidence(sketch: np.ndarray, need: int, min_docs: int) -> tuple[bool, list[int]]:
+    """Whether documents with these sketches make a template recur, and if they don't, the rows that can help to show that it does."""
+    firm = np.flatnonzero(sketch[:, -1])
+    of_firm = clusters(sketch[firm, :-1], need)
+    if len(of_firm) >= need:
+        return True, []
+    of_all = clusters(sketch[:, :-1], min_docs)
+    if len(of_all) >= min_docs:
+        return True, []
+    return False, sorted({int(firm[k]) for c in of_firm for k in c}.union(*of_all))
 
 
 def enough(tokens: int, min_docs: int) -> int:
@@ -180,78 +210,180 @@ def enough(tokens: int, min_docs: int) -> int:
     return min(min_docs, max(2, -(-CHANCE * min_docs // tokens)))
 
 
-def line_rows(docs: DataFrame, lead: int) -> DataFrame:
-    """(leaf, id, key, number, sketch, line) of all lines that aren't blank. docs: (id, key, text)."""
-    schema = T.StructType([T.StructField("leaf", T.LongType()), docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("line", T.StringType())])
+class Line:
+    """What is known of a masked line: its number of rows, the first of them, and sketches by text."""
+
+    __slots__ = ("certain", "count", "first", "leaf", "most", "need", "sketches")
+
+    def __init__(self, leaf: int, need: int) -> None:
+        self.leaf, self.need, self.count, self.certain, self.most = leaf, need, 0, False, FEW_SKETCHES
+        self.first: tuple = ()
+        self.sketches: dict[tuple[int, int], bytes] = {}
+
+    def add(self, count: int, first: tuple, sketches: dict[tuple[int, int], bytes], certain: bool, min_docs: int) -> None:
+        self.count += count
+        if not self.first or first < self.first:
+            self.first = first
+        if self.certain or certain:
+            self.certain, self.sketches = True, {}
+            return
+        self.sketches.update(sketches)
+        if len(self.sketches) > self.most:
+            self.settle(min_docs)
+            self.most = len(self.sketches) + FEW_SKETCHES
+
+    def settle(self, min_docs: int) -> None:
+        """Find whether the line is certain to recur by itself, and drop the sketches that add nothing."""
+        keys = sorted(self.sketches)
+        self.certain, left = evidence(rows_of([self.sketches[k] for k in keys]), self.need, min_docs)
+        self.sketches = {keys[k]: self.sketches[keys[k]] for k in left}
+
+
+def rows_of(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, WIDTH)
+
+
+def line_rows(docs: DataFrame, lead: int, min_docs: int) -> DataFrame:
+    """What each task knows of each masked line that it holds; ``id``, ``number``, ``key`` and ``key2`` are of the first row. docs: (id, key, key2, text)."""
+    plain = (("leaf", T.LongType()), ("line", T.StringType()), ("rows", T.LongType()), ("number", T.IntegerType()), ("key", T.LongType()), ("key2", T.LongType()), ("certain", T.BooleanType()), ("texts", T.BinaryType()), ("sketches", T.BinaryType()))
+    schema = T.StructType([*(T.StructField(*f) for f in plain), docs.schema["id"]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Line] = {}
+        chars = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            some = list(held.items())
+            for k in range(0, len(some), 10_000):
+                lines, own = zip(*some[k : k + 10_000], strict=True)
+                for x in own:
+                    if len(x.sketches) > FEW_SKETCHES:
+                        x.settle(min_docs)
+                columns = [
+                    [x.leaf for x in own], lines, [x.count for x in own], [x.first[2] for x in own], [x.first[3] for x in own], [x.first[4] for x in own], [x.certain for x in own],
+                    [np.array(list(x.sketches), np.int64).tobytes() for x in own], [b"".join(x.sketches.values()) for x in own], [None if x.first[0] else x.first[1] for x in own],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            held.clear()
+
         for batch in batches:
+            ids, keys, others = (batch.column(n).to_pylist() for n in ("id", "key", "key2"))
             for lo, hi, data, off in grams.chunks(batch.column("text")):
                 bounds = np.sort(np.concatenate([off, np.flatnonzero(data == 10) + 1]))
-                at, leaves, numbers, lines, rows = [], [], [], [], []
+                at, leaves, numbers, lines, sizes, rows = [], [], [], [], [], []
                 for d, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist()):
                     for k, line in enumerate(text.split("\n")):
-                        tokens = line.split()
+                        tokens = masked(line)
                         at.append(d)
                         leaves.append(leaf(tokens, lead) if tokens else 0)
                         if tokens:
                             rows.append(len(at) - 1)
                             numbers.append(k)
-                            lines.append(line)
-                if rows:
-                    at, leaves, rows = np.array(at), np.array(leaves, np.int64), np.array(rows)
-                    packed = outside(data, bounds, at, leaves, rows)
-                    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2 + 1), len(rows), [None, pa.py_buffer(np.ascontiguousarray(packed))])
-                    of = pa.array(at[rows] + lo)
-                    columns = [pa.array(leaves[rows]), batch.column("id").take(of), batch.column("key").take(of), pa.array(numbers, pa.int32()), sketch, pa.array(lines, pa.string())]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                            lines.append(" ".join(tokens))
+                            sizes.append(len(tokens))
+                if not rows:
+                    continue
+                at, leaves, rows = np.array(at), np.array(leaves, np.int64), np.array(rows)
+                packed = outside(data, bounds, at, leaves, rows)
+                told, raw = packed[:, :-1].any(1).tolist(), packed.tobytes()
+                for k, (d, number, line, size, of) in enumerate(zip((at[rows] + lo).tolist(), numbers, lines, sizes, leaves[rows].tolist(), strict=True)):
+                    own = held.get(line)
+                    if own is None:
+                        own = held[line] = Line(of, enough(size, min_docs))
+                        chars += len(line)
+                    key = keys[d], others[d]
+                    own.add(1, place(ids[d], number, *key), {key: raw[k * WIDTH : (k + 1) * WIDTH]} if told[k] else {}, False, min_docs)
+                if len(held) >= HELD or chars >= HELD_CHARS:
+                    yield from flush()
+                    chars = 0
+        yield from flush()
 
     return docs.filter(F.col("text").isNotNull()).mapInArrow(run, schema)
 
 
-def drops(lines: DataFrame, lead: int, similar: float, min_docs: int) -> DataFrame:
-    """(key, number) of the lines to drop."""
+def place(id: object, number: int, key: int, key2: int) -> tuple:
+    """By which the first of some rows is told."""
+    return id is None, 0 if id is None else id, number, key, key2
+
+
+def recurring(lines: DataFrame, lead: int, similar: float, min_docs: int) -> DataFrame:
+    """(h, h2) of the masked lines of recurring templates, with text and number of the line that stays."""
+    names = ["h", "h2", "kept_key", "kept_key2", "kept_number"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "leaf"):
             leaves = table["leaf"].to_numpy()
             first = np.append(np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])), len(leaves))
-            key, number, ids = table["key"].to_numpy(), table["number"].to_numpy(), table["id"].combine_chunks()
-            gone: list[int] = []
-            for k in np.flatnonzero(np.diff(first) >= min(2, min_docs)).tolist():
-                rows = range(first[k], first[k + 1])
-                need = enough(len(table["line"][first[k]].as_py().split()), min_docs)
-                if len(set(key[first[k] : first[k + 1]].tolist())) < need:
+            certain, rows, size = table["certain"].to_numpy(), table["rows"].to_numpy(), pc.binary_length(table["sketches"]).to_numpy() // WIDTH
+            out: list[tuple] = []
+            for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if rows[a:z].sum() < min(2, min_docs):
                     continue
-                sketch = np.frombuffer(b"".join(table["sketch"].slice(first[k], len(rows)).to_pylist()), np.uint8).reshape(-1, BINS // 2 + 1)
-                by: dict[tuple[str, ...], list[int]] = defaultdict(list)
-                for row, line in zip(rows, table["line"].slice(first[k], len(rows)).to_pylist(), strict=True):
-                    by[masked(line.split())].append(row)
-                for members in templates({line: len(own) for line, own in by.items()}, lead, similar):
-                    own = [row for line in members for row in by[line]]
-                    texts, one = np.unique(key[own], return_index=True)
-                    if len(texts) >= need and recurs(sketch[np.array(own)[one] - first[k]], need, min_docs):
-                        kept = min(own, key=lambda r: ((x := ids[r].as_py()) is None, 0 if x is None else x, number[r], key[r]))
-                        gone += [r for r in own if (key[r], number[r]) != (key[kept], number[kept])]
-            if gone:
-                yield pa.RecordBatch.from_arrays([pa.array(key[gone]), pa.array(number[gone])], names=["key", "number"])
-
-    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "key long, number int")
+                tokens = table["line"][a].as_py().count(" ") + 1
+                need = enough(tokens, min_docs)
+                if not certain[a:z].any() and size[a:z].sum() < need:
+                    continue
+                known: dict[str, Line] = {}
+                for r in table.slice(a, z - a).to_pylist():
+                    texts = np.frombuffer(r["texts"], np.int64).reshape(-1, 2).tolist()
+                    own = {(x, y): r["sketches"][k * WIDTH : (k + 1) * WIDTH] for k, (x, y) in enumerate(texts)}
+                    known.setdefault(r["line"], Line(leaves[a], need)).add(r["rows"], place(r["id"], r["number"], r["key"], r["key2"]), own, r["certain"], min_docs)
+                for members in templates({tuple(line.split(" ")): own.count for line, own in known.items()}, lead, similar):
+                    text = [" ".join(m) for m in members]
+                    own = [known[m] for m in text]
+                    sketches = {k: x for one in own for k, x in one.sketches.items()}
+                    if any(one.certain for one in own) or len(sketches) >= need and evidence(rows_of([sketches[k] for k in sorted(sketches)]), need, min_docs)[0]:
+                        kept = min(one.first for one in own)
+                        out += [(*line_hash(m), kept[3], kept[4], kept[2]) for m in text]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def places(docs: DataFrame, wanted: Sieve) -> DataFrame:
+    """(key, key2, number, h, h2) of the lines that may be among some, by their hashes, once from each batch. docs: (key, key2, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, rows = set(), []
+            for key, key2, text in zip(*(batch.column(n).to_pylist() for n in ("key", "key2", "text")), strict=True):
+                if (key, key2) not in seen:
+                    seen.add((key, key2))
+                    rows += [(key, key2, k, *line_hash(" ".join(tokens))) for k, line in enumerate(text.split("\n")) if (tokens := masked(line))]
+            if rows:
+                table = np.array(rows, np.int64)
+                table = table[wanted.has(table[:, 3])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(5)], names=["key", "key2", "number", "h", "h2"])
+
+    return docs.filter(F.col("text").isNotNull()).mapInArrow(run, "key long, key2 long, number long, h long, h2 long")
+
+
+def drops(docs: DataFrame, lead: int, similar: float, min_docs: int) -> DataFrame:
+    """(key, key2, numbers) of the lines to drop. docs: (id, key, key2, text)."""
+    lines = staged(recurring(line_rows(docs, lead, min_docs), lead, similar, min_docs), "templates")
+    at = places(docs.select("key", "key2", "text"), Sieve.of(lines.select("h"), "h")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    spread = lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = at.join(spread.hint("merge"), ["h", "h2", "salt"])
+    found = found.filter((F.col("key") != F.col("kept_key")) | (F.col("key2") != F.col("kept_key2")) | (F.col("number") != F.col("kept_number")))
+    return found.groupBy("key", "key2").agg(F.collect_set(F.col("number").cast("int")).alias("numbers"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lead: int = LEAD, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows of ``docs`` with the recurring lines gone from ``text``, and ``dropped_lines``, how many."""
     names = docs.columns
-    key, number, gone, count = (free(names, n) for n in ("text_key", "line_number", "gone_lines", "dropped_lines"))
-    lines = line_rows(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")), lead)
-    found = drops(lines, lead, similar, min_docs).select(F.col("key").alias(key), F.col("number").alias(number))
-    found = staged(found.groupBy(key).agg(F.collect_set(number).alias(gone)), "lines")
-    joined = docs.withColumn(key, F.xxhash64(text)).join(found.hint("merge"), key, "left")  # one plan at every size: as many texts are shuffled as there are, and no list grows in memory
+    key, key2, gone, count = (free(names, n) for n in ("text_key", "text_key2", "gone_lines", "dropped_lines"))
+    one, two = F.xxhash64(text), F.hash(text).cast("long")
+    found = drops(docs.select(F.col(id_col).alias("id"), one.alias("key"), two.alias("key2"), F.col(text).alias("text")), lead, similar, min_docs)
+    found = staged(found.select(F.col("key").alias(key), F.col("key2").alias(key2), F.col("numbers").alias(gone)), "lines")
+    may = F.col(text).isNotNull() & Sieve.of(found.select(F.col(key).alias("h")), "h").may_have(one)
+    touched = docs.filter(may).withColumn(key, one).withColumn(key2, two).join(found.hint("merge"), [key, key2], "left")  # one plan at every size; the parts of a text that many rows hold are split by Spark
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
     new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
     columns = [new.alias(n) if n == text else F.col(n) for n in names]
-    return joined.select(*columns, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(count))
+    changed = touched.select(*columns, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(count))
+    return docs.filter(~may).withColumn(count, F.lit(0)).unionByName(changed)
 
 
 def drop_lines_and_blank(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -273,6 +273,25 @@ def test_long_lines_recur_in_few_documents(spark, tokens, n, goes):
     assert sum(shared in r.text for r in got if r.doc_id < 100) == (1 if goes else n)
 
 
+def test_lines_are_summed_up_alike_however_they_lie(spark):
+    rng = random.Random(33)
+    passages = [prose(rng, n) for n in (4, 6, 14, 50)]
+    docs = []
+    for k in range(400):
+        lines = [prose(rng, rng.randint(4, 20)) for _ in range(rng.randint(1, 4))]
+        lines += [p for n, p in enumerate(passages) if k % (n + 1) == 0]
+        lines.append(f"Item {k} of the list in {prose(rng, 1)} order number {k}")
+        rng.shuffle(lines)
+        docs.append((k if k % 50 else None, "\n".join(lines)))
+    docs += [(1000 + k, docs[1][1]) for k in range(150)] + [(2000 + k, edited(rng, docs[2][1], 0.03)) for k in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = ({(r.doc_id, r.text, r.dropped_lines) for r in linededup.drop_lines(df.repartition(n)).collect()} for n in (1, 13))
+    assert one == many
+    for p in passages:  # the first copy stays, in the document and its copies
+        first = min(k for k, t in docs if k is not None and p in t.split("\n"))
+        assert all(k is None or k in (first, *range(1000, 1150)) for k, t, _ in one if p in t.split("\n"))
+
+
 def distance_within(item, text):
     """Least edits from the item to any part of the text."""
     row = [0] * (len(text) + 1)
