@@ -59,8 +59,8 @@ KIN = 0.5
 KIN_KEPT = 64
 #: Sketches of a line that a task gathers before it drops those that add nothing, and masked lines and their characters that it holds before it sends them.
 FEW_SKETCHES = 96
-HELD = 100_000
-HELD_CHARS = 1 << 25
+HELD = 16_000
+HELD_CHARS = 1 << 22
 SALTS = 8
 WIDTH = BINS // 2 + 1
 OUTSIDE = 0.1
@@ -255,8 +255,8 @@ def line_rows(docs: DataFrame, lead: int, min_docs: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             some = list(held.items())
-            for k in range(0, len(some), 10_000):
-                lines, own = zip(*some[k : k + 10_000], strict=True)
+            for k in range(0, len(some), 2000):
+                lines, own = zip(*some[k : k + 2000], strict=True)
                 for x in own:
                     if len(x.sketches) > FEW_SKETCHES:
                         x.settle(min_docs)
