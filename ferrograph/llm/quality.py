@@ -101,9 +101,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         held[:] = False
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))  # both kinds count alike
     own = np.flatnonzero(~held)
-    w, b = linear.fit(x.some(own), y[own], weight[own], 3 << bits, steps=60, rate=1.0, l2=1e-7)
     test = np.flatnonzero(held) if held.any() else own
-    slope, offset = linear.platt(x.some(test).times(w) + b, y[test])
+    fitted, tested = x.some(own), x.some(test)
+    del x
+    w, b = linear.fit(fitted, y[own], weight[own], 3 << bits, steps=60, rate=1.0, l2=1e-7)
+    slope, offset = linear.platt(tested.times(w) + b, y[test])
     return Model(w.astype(np.float32), b, slope, offset, bits)
 
 
