@@ -32,6 +32,7 @@ underscores after theirs.
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -81,8 +82,7 @@ def leaf(tokens: list[str], lead: int) -> int:
 
 def line_hash(line: str) -> tuple[int, int]:
     """128 bits of a masked line."""
-    h = xxhash.xxh3_128_intdigest(line)
-    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+    return xxhash.xxh64_intdigest(line) - (1 << 63), xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
 def templates(lines: dict[tuple[str, ...], int], lead: int, similar: float) -> list[list[tuple[str, ...]]]:
@@ -262,7 +262,7 @@ def line_rows(docs: DataFrame, lead: int, min_docs: int) -> DataFrame:
                         x.settle(min_docs)
                 columns = [
                     [x.leaf for x in own], lines, [x.count for x in own], [x.first[2] for x in own], [x.first[3] for x in own], [x.first[4] for x in own], [x.certain for x in own],
-                    [np.array(list(x.sketches), np.int64).tobytes() for x in own], [b"".join(x.sketches.values()) for x in own], [None if x.first[0] else x.first[1] for x in own],
+                    [b"".join([struct.pack("<qq", *k) for k in x.sketches]) for x in own], [b"".join(x.sketches.values()) for x in own], [None if x.first[0] else x.first[1] for x in own],
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             held.clear()
@@ -288,12 +288,14 @@ def line_rows(docs: DataFrame, lead: int, min_docs: int) -> DataFrame:
                 packed = outside(data, bounds, at, leaves, rows)
                 told, raw = packed[:, :-1].any(1).tolist(), packed.tobytes()
                 for k, (d, number, line, size, of) in enumerate(zip((at[rows] + lo).tolist(), numbers, lines, sizes, leaves[rows].tolist(), strict=True)):
-                    own = held.get(line)
+                    own, key = held.get(line), (keys[d], others[d])
+                    first, sketch = place(ids[d], number, *key), {key: raw[k * WIDTH : (k + 1) * WIDTH]} if told[k] else {}
                     if own is None:
                         own = held[line] = Line(of, enough(size, min_docs))
+                        own.count, own.first, own.sketches = 1, first, sketch
                         chars += len(line)
-                    key = keys[d], others[d]
-                    own.add(1, place(ids[d], number, *key), {key: raw[k * WIDTH : (k + 1) * WIDTH]} if told[k] else {}, False, min_docs)
+                    else:
+                        own.add(1, first, sketch, False, min_docs)
                 if len(held) >= HELD or chars >= HELD_CHARS:
                     yield from flush()
                     chars = 0
@@ -317,18 +319,19 @@ def recurring(lines: DataFrame, lead: int, similar: float, min_docs: int) -> Dat
             first = np.append(np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])), len(leaves))
             certain, rows, size = table["certain"].to_numpy(), table["rows"].to_numpy(), pc.binary_length(table["sketches"]).to_numpy() // WIDTH
             out: list[tuple] = []
-            for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                if rows[a:z].sum() < min(2, min_docs):
-                    continue
-                tokens = table["line"][a].as_py().count(" ") + 1
-                need = enough(tokens, min_docs)
-                if not certain[a:z].any() and size[a:z].sum() < need:
+            whole = lambda x: np.add.reduceat(x.astype(np.int64), first[:-1])
+            certainly, evident = whole(certain), whole(size)
+            some = (whole(rows) >= min(2, min_docs)) & ((certainly > 0) | (evident >= min(2, min_docs)))
+            for k in np.flatnonzero(some).tolist():
+                a, z = int(first[k]), int(first[k + 1])
+                need = enough(table["line"][a].as_py().count(" ") + 1, min_docs)
+                if not certainly[k] and evident[k] < need:
                     continue
                 known: dict[str, Line] = {}
                 for r in table.slice(a, z - a).to_pylist():
                     texts = np.frombuffer(r["texts"], np.int64).reshape(-1, 2).tolist()
                     own = {(x, y): r["sketches"][k * WIDTH : (k + 1) * WIDTH] for k, (x, y) in enumerate(texts)}
-                    known.setdefault(r["line"], Line(leaves[a], need)).add(r["rows"], place(r["id"], r["number"], r["key"], r["key2"]), own, r["certain"], min_docs)
+                    known.setdefault(r["line"], Line(int(leaves[a]), need)).add(r["rows"], place(r["id"], r["number"], r["key"], r["key2"]), own, r["certain"], min_docs)
                 for members in templates({tuple(line.split(" ")): own.count for line, own in known.items()}, lead, similar):
                     text = [" ".join(m) for m in members]
                     own = [known[m] for m in text]
@@ -347,15 +350,19 @@ def places(docs: DataFrame, wanted: Sieve) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, rows = set(), []
+            seen, rows, lines = set(), [], []
             for key, key2, text in zip(*(batch.column(n).to_pylist() for n in ("key", "key2", "text")), strict=True):
                 if (key, key2) not in seen:
                     seen.add((key, key2))
-                    rows += [(key, key2, k, *line_hash(" ".join(tokens))) for k, line in enumerate(text.split("\n")) if (tokens := masked(line))]
+                    for k, line in enumerate(text.split("\n")):
+                        if tokens := masked(line):
+                            rows.append((key, key2, k))
+                            lines.append(" ".join(tokens))
             if rows:
-                table = np.array(rows, np.int64)
-                table = table[wanted.has(table[:, 3])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(5)], names=["key", "key2", "number", "h", "h2"])
+                h = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64) ^ np.uint64(1 << 63)
+                found = [(*rows[k], *line_hash(lines[k])) for k in np.flatnonzero(wanted.has(h)).tolist()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["key", "key2", "number", "h", "h2"])
 
     return docs.filter(F.col("text").isNotNull()).mapInArrow(run, "key long, key2 long, number long, h long, h2 long")
 
