@@ -166,12 +166,12 @@ def edge_histogram(spark, d):
 
 @sql("SELECT token, count(*) AS files, min(path) AS first_path FROM tokens GROUP BY token")
 def token_postings(spark, d):
-    return textindex.postings(graph(spark, d, True).tokens).select("token", F.size("paths").cast("long").alias("files"), F.get("paths", F.lit(0)).alias("first_path"))
+    return textindex.posting_heads(textindex.tokenize(Star(spark, d).files()))
 
 
-@sql("SELECT token, count(DISTINCT path) AS files FROM tokens GROUP BY token ORDER BY files DESC, token LIMIT 100")
+@sql("SELECT token, count(DISTINCT path) AS files FROM tokens GROUP BY token")
 def posting_sizes(spark, d):
-    return textindex.posting_sizes(graph(spark, d, True).tokens).orderBy(F.desc("files"), "token").limit(100)
+    return textindex.posting_sizes(textindex.tokenize(Star(spark, d).files()))
 
 
 # The text index
@@ -403,12 +403,14 @@ def direct_subtypes(spark, d):
     return traverse.direct(graph(spark, d), "Implements", rev=True)
 
 
-@sql(", pairs AS (SELECT f AS sub, up || '.t0' AS sup FROM turns_f UNION SELECT up || '.t0', f FROM turns_f) SELECT sub, sup, sub = sup OR EXISTS (SELECT 1 FROM ancestors WHERE start = sub AND reached = sup) AS is_subtype FROM pairs")
+@sql(""", pairs AS (SELECT f AS sub, up || '.t0' AS sup FROM turns_f UNION SELECT up || '.t0', f FROM turns_f
+), reach AS (SELECT a AS start, b AS reached FROM super UNION SELECT r.start, s.b FROM reach r JOIN super s ON s.a = r.reached)
+SELECT p.sub, p.sup, p.sub = p.sup OR r.start IS NOT NULL AS is_subtype FROM pairs p LEFT JOIN reach r ON r.start = p.sub AND r.reached = p.sup""")
 def is_subtype_pairs(spark, d):
     star = Star(spark, d)
     top = F.concat("up", F.lit(".t0"))
     pairs = star.turns.select(c("f").alias("sub"), top.alias("sup")).union(star.turns.select(top, "f")).distinct()
-    return traverse.is_subtype(pairs, traverse.closure(star.edges()))
+    return traverse.is_subtype(pairs, traverse.closure(star.edges(), starts=pairs.select(c("sub").alias("fqn")), max_depth=None))
 
 
 @sql(""", targets AS (SELECT f AS target FROM supplier_f UNION SELECT f || '#' || role || '()' FROM turns_f WHERE turn = 0)
@@ -436,6 +438,47 @@ def members_of_types(spark, d):
     return traverse.members(graph(spark, d))
 
 
+# Symbols by intent, name, file and position
+
+
+@sql("SELECT fqn, kind, kind IN ('class', 'interface', 'enum', 'annotation') AS as_type, kind IN ('method', 'constructor') AS as_method, kind = 'field' AS as_field, false AS as_variable, true AS as_unknown FROM nodes")
+def intent_kinds(spark, d):
+    return graph(spark, d).nodes.select("fqn", "kind", *(query.fits_intent(c("kind"), i).alias(f"as_{i}") for i in ("type", "method", "field", "variable", "unknown")))
+
+
+@sql("SELECT name, count(*) AS n, min(fqn) AS first, max(fqn) AS last FROM nodes WHERE name IS NOT NULL GROUP BY name")
+def nodes_by_name(spark, d):
+    return query.grouped(graph(spark, d).nodes, "name")
+
+
+@sql("SELECT path, count(*) AS n, min(fqn) AS first, max(fqn) AS last FROM nodes WHERE path IS NOT NULL GROUP BY path")
+def nodes_by_file(spark, d):
+    return query.grouped(graph(spark, d).nodes, "path")
+
+
+@sql("""SELECT path, token, count(DISTINCT line) AS lines, min(place) AS first_place FROM (
+  SELECT path, line, unnest(regexp_extract_all(line_text, '[\\pL\\pN_]+')) AS token, generate_subscripts(regexp_extract_all(line_text, '[\\pL\\pN_]+'), 1) - 1 AS place
+  FROM (SELECT path, unnest(string_split(content, chr(10))) AS line_text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files)) GROUP BY path, token""".replace("\\\\", "\\"))
+def occurrences_by_file(spark, d):
+    return textindex.line_occurrences(Star(spark, d).files()).groupBy("path", "token").agg(F.count_distinct("line").alias("lines"), F.min("place").cast("long").alias("first_place"))
+
+
+@sql("""SELECT doc_id, CAST(CASE WHEN doc_id % 40 <= length(l) THEN strlen(left(l, CAST(doc_id % 40 AS INTEGER))) END AS INTEGER) AS byte_col,
+  CAST(CASE WHEN len(ls) > 1 AND doc_id % 40 <= length(ls[2]) THEN strlen(l) + 1 + strlen(left(ls[2], CAST(doc_id % 40 AS INTEGER))) END AS BIGINT) AS byte_offset
+FROM (SELECT doc_id, string_split(content, chr(10)) AS ls, string_split(content, chr(10))[1] AS l FROM files WHERE content IS NOT NULL)""")
+def editor_positions(spark, d):
+    lines, col = F.split("content", "\n", -1), (c("doc_id") % 40).cast("int")
+    files = Star(spark, d).files().filter(c("content").isNotNull())
+    return files.select("doc_id", locate.byte_column(F.get(lines, F.lit(0)), col).alias("byte_col"), locate.byte_offset(c("content"), F.lit(1), col).alias("byte_offset"))
+
+
+@sql("""SELECT doc_id, CASE WHEN doc_id % 40 <= length(l) THEN nullif(regexp_extract(left(l, CAST(doc_id % 40 AS INTEGER)), '[\\pL\\pN_]*$') || regexp_extract(substr(l, CAST(doc_id % 40 AS INTEGER) + 1), '^[\\pL\\pN_]*'), '') END AS word
+FROM (SELECT doc_id, string_split(content, chr(10))[1] AS l FROM files WHERE content IS NOT NULL)""".replace("\\\\", "\\"))
+def word_at_position(spark, d):
+    files = Star(spark, d).files().filter(c("content").isNotNull())
+    return files.select("doc_id", locate.word_at(F.get(F.split("content", "\n", -1), F.lit(0)), c("doc_id") % 40).alias("word"))
+
+
 # Maintenance
 
 

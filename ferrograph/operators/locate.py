@@ -18,6 +18,30 @@ def contains(r: str | Column, line: Column, col: Column) -> Column:
     return (at("start_line", "start_col") <= point) & (point <= at("end_line", "end_col"))
 
 
+def prefix_of(line: Column, utf16: Column) -> Column:
+    """The part of a line before an editor's column, which counts UTF-16 units; null beyond the line's end."""
+    raw = F.encode(line, "UTF-16BE")
+    return F.when((utf16 >= 0) & (utf16 * 2 <= F.octet_length(raw)), F.decode(F.substring(raw, F.lit(1), (utf16 * 2).cast("int")), "UTF-16BE"))
+
+
+def byte_column(line: Column, utf16: Column) -> Column:
+    return F.octet_length(prefix_of(line, utf16))
+
+
+def byte_offset(content: Column, line: Column, utf16: Column) -> Column:
+    """Bytes before a position in a text; null where the line or the column isn't there."""
+    lines = F.split(content, "\n", -1)
+    before = F.aggregate(F.slice(lines, F.lit(1), line.cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 1)
+    return F.when((line >= 0) & (line < F.size(lines)), before + byte_column(F.get(lines, line.cast("int")), utf16))
+
+
+def word_at(line: Column, col: Column) -> Column:
+    """The word that holds a column, or ends there; null where there is none."""
+    left = F.regexp_extract(F.substring(line, F.lit(1), col.cast("int")), r"[\p{L}\p{N}_]*$", 0)
+    right = F.regexp_extract(F.substring(line, col.cast("int") + 1, F.length(line)), r"^[\p{L}\p{N}_]*", 0)
+    return F.when(col <= F.length(line), F.nullif(F.concat(left, right), F.lit("")))
+
+
 def range_size(r: str | Column) -> Column:
     r = F.col(r) if isinstance(r, str) else r
     return F.greatest(r["end_line"] - r["start_line"], F.lit(0)) * 1000 + F.greatest(r["end_col"] - r["start_col"], F.lit(0))

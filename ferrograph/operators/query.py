@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrograph.schema import CONTAINS, Graph, InvalidArgument, NotFound
+from ferrograph.schema import CONTAINS, INTENT_KINDS, Graph, InvalidArgument, NotFound
 
 ROOT_LIMIT = 50
 FIND_LIMIT = 20
@@ -19,6 +19,17 @@ def among(column: Column, values: Sequence[str]) -> Column:
     return column.isin(*values) if values else F.lit(True)
 
 
+def fits_intent(kind: Column, intent: str) -> Column:
+    """Whether a symbol of that kind may be meant, where one of some intent is looked for; an intent that nothing is known of allows all."""
+    kinds = INTENT_KINDS.get(intent)
+    return F.lit(True) if kinds is None else kind.isin(*kinds) if kinds else F.lit(False)
+
+
+def grouped(nodes: DataFrame, by: str) -> DataFrame:
+    """Nodes of one name, or of one file: how many, and the first and last of them; lists are got by a filter."""
+    return nodes.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min("fqn").alias("first"), F.max("fqn").alias("last"))
+
+
 def with_modifiers(nodes: DataFrame, modifiers: Sequence[str]) -> DataFrame:
     for m in modifiers:
         nodes = nodes.filter(F.array_contains("modifiers", m))

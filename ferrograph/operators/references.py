@@ -39,7 +39,9 @@ def find_references(graph: Graph, fqns: DataFrame, include_declaration: bool = F
     names = wanted.join(graph.nodes.select("fqn", "name"), "fqn").withColumn("name", naming.strip_signature(F.col("name")))
     candidates = textindex.scout(names.select("fqn", "name"), graph.tokens, cutoff, use_context).join(names, "fqn").select("target", "path", F.col("name").alias("token")).distinct()
     found = graph.occurrences.join(candidates, ["path", "token"])
-    found = related(found.filter(F.col("resolved_fqn").isNotNull()), traverse.closure(graph.edges))
+    owners = wanted.select(naming.member_owner(F.col("target")).alias("fqn")).dropna().distinct()
+    above, below = (traverse.closure(graph.edges, rev=rev, starts=owners, max_depth=None) for rev in (False, True))
+    found = related(found.filter(F.col("resolved_fqn").isNotNull()), above.unionByName(below))
     refs = found.select("target", "path", *locate.RANGE_COLUMNS).distinct()
     if not include_declaration:
         nodes = graph.nodes.join(wanted.select("fqn").distinct(), "fqn", "left_semi")

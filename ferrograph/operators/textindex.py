@@ -21,6 +21,11 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
+def posting_heads(tokens: DataFrame) -> DataFrame:
+    """``(token, files, first_path)`` of distinct postings; no list of paths is held anywhere."""
+    return tokens.groupBy("token").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
+
+
 def posting_sizes(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count_distinct("path").alias("files"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ def links(edges: DataFrame, edge_types: Sequence[str] = SUPER, rev: bool = False
     return edges.filter(F.col("edge_type").isin(*edge_types)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
 
 
-def closure(edges: DataFrame, edge_types: Sequence[str] = SUPER, rev: bool = False, max_depth: int = MAX_DEPTH, starts: DataFrame | None = None, keep: int = 4, whole: DataFrame | None = None) -> DataFrame:
-    """``(start, reached, depth)``: all nodes that are reached in 1 to max_depth steps, at their least depth; cycles end.
+def closure(edges: DataFrame, edge_types: Sequence[str] = SUPER, rev: bool = False, max_depth: int | None = MAX_DEPTH, starts: DataFrame | None = None, keep: int = 4, whole: DataFrame | None = None) -> DataFrame:
+    """``(start, reached, depth)``: all nodes that are reached in 1 to max_depth steps (None: in any number), at their least depth; cycles end.
 
     A frontier loop: each step joins only what the step before reached first. The lineage is cut by a checkpoint every ``keep``
     steps, where the session has a checkpoint folder, and the loop ends with the frontier.
@@ -38,7 +39,7 @@ def closure(edges: DataFrame, edge_types: Sequence[str] = SUPER, rev: bool = Fal
     if safe:
         front = front.checkpoint()
     seen = front.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2) if max_depth is None else range(2, max_depth + 1):
         front = front.join(steps, F.col("reached") == F.col("a")).select("start", F.col("b").alias("reached")).filter("start != reached").distinct().join(seen, ["start", "reached"], "left_anti")
         if safe:
             front = front.checkpoint()

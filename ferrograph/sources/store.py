@@ -24,13 +24,14 @@ class Store:
         return self.jvm.org.apache.hadoop.fs.Path(name)
 
     def pointer(self) -> dict | None:
-        place = self.path(f"{self.root}/current.json")
-        if not self.fs.exists(place):
-            return None
-        try:
-            return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
-        except (ValueError, TypeError):
-            return None
+        """What the newest pointer says that can be read; each version has its own, so that none is ever replaced."""
+        found = self.fs.globStatus(self.path(f"{self.root}/current-*.json")) or []
+        for place in sorted((s.getPath().toString() for s in found), reverse=True):
+            try:
+                return json.loads(self.spark.read.text(place, wholetext=True).first()[0])
+            except (ValueError, TypeError):
+                continue
+        return None
 
     def save(self, graph: Graph, version: int | None = None) -> int:
         """Write a version and make it current. A version that is current already isn't written again, so that repeated batches do no harm."""
@@ -48,17 +49,13 @@ class Store:
         out = self.fs.create(new, True)
         out.write(bytearray(json.dumps({"version": version, "format": FORMAT, "parts": parts}).encode()))
         out.close()
-        place = self.path(f"{self.root}/current.json")
-        if self.fs.exists(place):
-            self.fs.delete(place, False)
-        self.fs.rename(new, place)
+        self.fs.rename(new, self.path(f"{self.root}/current-{version:012}.json"))
         return version
 
     def load(self, version: int | None = None) -> Graph | None:
-        """The current version or a given one; None where nothing usable is stored, which is then deleted."""
+        """The current version or a given one; None where nothing usable is stored. Nothing is deleted; ``clear`` does that."""
         now = self.pointer()
         if now is None or now.get("format") != FORMAT:
-            self.clear()
             return None
         version = now["version"] if version is None else version
         read = {n: self.spark.read.parquet(f"{self.root}/v={version}/{n}") if n in now["parts"] else None for n in PARTS}
