@@ -2,11 +2,12 @@
 
 The distance 1 - J is a metric, but unrelated documents are all at distance 1 from each other, and then no pivot tells them
 apart: a window around any pivot would hold the whole corpus. So the pivots are documents that others share something with.
-All grams have one order, from rare to common (by counts over the whole corpus in 2**``RANK_BITS`` cells, ties by hash), and the
-elements of a set are its pairs of neighbours in that order. If x and y have o grams in common, they have at least
-3 o - |x| - |y| - 1 elements in common, so at least s = (2 t - 1) |x| - 1 of x's with any similar set; by the prefix principle
-two similar sets have k elements in common already among the first |x| - 1 - s + k of each. (Small sets use their grams alone as
-elements, sets just above the small ones use both kinds.) The documents with an element in common make a bucket, and the one with
+All grams have one order, that of their hashes, and the elements of a set are its pairs of neighbours in that order: common grams
+mostly have rare neighbours, so that unlike documents share few elements. If x and y have o grams in common, they have at least
+3 o - |x| - |y| - 1 elements in common, so at least s = (2 t - 1) |x| - 1 of the larger one's, x. Elements are ordered from rare to
+common (by counts of both grams over the whole corpus in 2**``RANK_BITS`` cells, ties by hash), and by the prefix principle two
+similar sets have about k elements of the larger one in common already among the first |x| - 1 - s + k of each. (Small sets use
+their grams alone as elements, sets just above the small ones use both kinds.) The documents with an element in common make a bucket, and the one with
 the smallest key is its pivot. A document that meets others in fewer elements than k has no partner and goes; of the pivots of the
 others, those go by which it meets others in no more than (k - 1) / 2 elements in all, as then every similar pair still has a pivot
 in common. The documents of a pivot are its region. Documents that can't be similar to any other of their region, by
@@ -46,8 +47,8 @@ N = 2
 THRESHOLD = 0.6
 MAX_REGION = 8000
 RANK_BITS = 18
-#: Elements that two similar sets must have in common, beyond one, as a share of the smaller set's grams, from a threshold on.
-MARGINS = ((0.7, 0.05), (0.0, 0.04))
+#: Elements that two similar sets must have in common, beyond one, as a share of a set's grams, from a threshold on. What unlike sets share by chance has to stay below.
+MARGINS = ((0.7, 0.05), (0.0, 0.1))
 #: Elements to a bucket, and elements that a task holds before it sends them.
 BUCKET = 3_000_000
 HELD = 4_000_000
@@ -185,16 +186,20 @@ def elements(own: Sets, docs: np.ndarray, rank: np.ndarray, t: float) -> tuple[n
     begin = np.cumsum(size) - size
     place = np.arange(len(doc)) - np.repeat(begin, size)
     g = own.flat[np.repeat(own.ptr[docs], size) + place]
-    c = rank[g >> np.uint64(64 - RANK_BITS)] << np.uint64(48) | grams.mix(g) >> np.uint64(16)
-    for lo, hi in zip(begin.tolist(), (begin + size).tolist(), strict=True):
-        c[lo:hi].sort()
+    how = rank[g >> np.uint64(64 - RANK_BITS)]
     k = needed(size, t)
     alone = np.where(size <= small(t) / t, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)
     pairs = np.where(size > small(t), np.minimum(size - 1, size - 1 - np.ceil((2 * t - 1) * size - 1 - 1e-9).astype(np.int64) + k), 0)
-    one, two = place < np.repeat(alone, size), place < np.repeat(pairs, size)
-    both = np.flatnonzero(two)
-    joined = grams.mix(c[both] * np.uint64(grams.BASE) + c[np.minimum(both + 1, len(c) - 1)])
-    return np.concatenate([grams.mix(c[one] ^ np.uint64(0x51A7)), joined]), np.concatenate([doc[one], doc[two]])
+    few = np.flatnonzero(np.repeat(alone > 0, size))
+    c = how[few] << np.uint64(48) | grams.mix(g[few]) >> np.uint64(16)
+    c = c[np.lexsort((c, np.repeat(np.arange(len(docs)), size)[few]))]
+    one, two = place[few] < np.repeat(alone, size)[few], place < np.repeat(pairs, size)
+    e = np.full(len(g), np.iinfo(np.uint64).max)
+    inner = np.flatnonzero(place < np.repeat(size - 1, size))
+    e[inner] = how[inner] + how[inner + 1] << np.uint64(47) | grams.mix(g[inner] * np.uint64(grams.BASE) + g[inner + 1]) >> np.uint64(17)
+    for lo, hi in zip(begin[pairs > 0].tolist(), (begin + size)[pairs > 0].tolist(), strict=True):
+        e[lo:hi].sort()
+    return np.concatenate([grams.mix(c[one] ^ np.uint64(0x51A7)), grams.mix(e[two])]), np.concatenate([doc[few][one], doc[two]])
 
 
 def packed(columns: list[tuple[np.ndarray, int]]) -> bytes:
@@ -289,7 +294,17 @@ def scaled(size: np.ndarray) -> np.ndarray:
 
 def least_needed(size: np.ndarray, t: float) -> np.ndarray:
     """How many elements a set of a scaled size meets any similar one in, at least."""
-    return needed(np.ceil(t * np.floor(2.0 ** (size.astype(float) / 8) + 1e-6) - 1e-6).astype(np.int64), t)
+    return met(np.floor(2.0 ** (size.astype(float) / 8) + 1e-6).astype(np.int64), t)
+
+
+def met(size: np.ndarray, t: float) -> np.ndarray:
+    """How many elements a set of that size or more has in common with any similar one.
+
+    Sets lose s - k of the elements that they share, s by the larger one; as s - k grows with the size but for one by rounding, k of the
+    larger set less one are left. Partners that may be small use other elements: k of the smallest one counts for these.
+    """
+    least = np.ceil(t * size - 1e-6).astype(np.int64)
+    return np.maximum(needed(least, t), np.where(least > small(t) / t, needed(size, t) - 1, 1))
 
 
 def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

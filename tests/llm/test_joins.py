@@ -118,6 +118,40 @@ def test_pipeline_takes_one_of_near_copies_below_the_join(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(12))
 
 
+def test_unlike_documents_are_no_candidates():
+    """Documents that only share common words meet others in fewer elements than similar ones do, also where there are many."""
+    rng = np.random.default_rng(6)
+    names = np.array([f"w{k}" for k in range(20_000)])
+    texts = [" ".join(names[np.where(rng.random(150) < 0.5, rng.integers(0, 40, 150), rng.integers(40, 20_000, 150))]) for _ in range(12_000)]
+    data, off = grams.text_bytes(pa.array(texts))
+    own = jaccard.Sets(data, off)
+    counts = np.bincount((own.flat >> np.uint64(64 - jaccard.RANK_BITS)).astype(np.int64), minlength=1 << jaccard.RANK_BITS)
+    rank = np.round(1000 * np.log2(1 + counts)).astype(np.uint64)
+    e, doc = jaccard.elements(own, np.arange(len(texts)), rank, 0.6)
+    _, at, times = np.unique(e, return_inverse=True, return_counts=True)
+    met = np.bincount(doc[times[at] > 1], minlength=len(texts))
+    assert (met >= jaccard.least_needed(jaccard.scaled(own.size), 0.6)).mean() < 0.05
+
+
+@pytest.mark.parametrize("t", [0.55, 0.6, 0.75, 1.0])
+def test_sets_of_any_two_sizes_meet_as_often_as_said(t):
+    rng = np.random.default_rng(8)
+    rank = rng.integers(0, 50, 1 << jaccard.RANK_BITS).astype(np.uint64)
+    for n in [*range(1, 90), 255, 256, 700]:
+        for _ in range(4):
+            base = rng.integers(1, 2**63, 2 * n + 4, dtype=np.uint64) * np.uint64(2)
+            both = int(rng.integers(int(np.ceil(t * n)), n + 1))
+            more = rng.integers(0, max(0, int(both / t - 1e-9) - n) + 1)
+            x, y = np.unique(base[:n]), np.unique(np.concatenate([base[:both], base[n : n + more]]))
+            if len(np.intersect1d(x, y)) < t * len(np.union1d(x, y)) - 1e-9:
+                continue
+            own = jaccard.Sets(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+            own.flat, own.ptr = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
+            own.size = np.diff(own.ptr)
+            e, doc = jaccard.elements(own, np.array([0, 1]), rank, t)
+            assert len(np.intersect1d(e[doc == 0], e[doc == 1])) >= jaccard.least_needed(jaccard.scaled(own.size), t).max()
+
+
 @pytest.mark.parametrize("t", [0.55, 0.6, 0.75, 0.9, 1.0])
 def test_similar_sets_meet_often_enough(t):
     """However similar sets of any sizes differ, their prefixes share as many elements as needed, whatever the ranks."""
