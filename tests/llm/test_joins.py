@@ -133,6 +133,20 @@ def test_unlike_documents_are_no_candidates():
     assert (met >= jaccard.least_needed(jaccard.scaled(own.size), 0.6)).mean() < 0.05
 
 
+def test_pipeline_forms_no_regions_of_unlike_documents(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    names = np.array([f"w{k}" for k in range(20_000)])
+    texts = [" ".join(names[np.where(rng.random(150) < 0.5, rng.integers(0, 40, 150), rng.integers(40, 20_000, 150))]) for _ in range(6_000)]
+    own = jaccard.Sets(*grams.text_bytes(pa.array(texts)))
+    counts = np.bincount((own.flat >> np.uint64(64 - jaccard.RANK_BITS)).astype(np.int64), minlength=1 << jaccard.RANK_BITS)
+    rank, t = np.round(1000 * np.log2(1 + counts)).astype(np.uint64), corpus_pipeline.NEAR
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = jaccard.regions(jaccard.star_rows(jaccard.bucket_rows(docs, rank, 4, 2, t), 4, t), 4, t)
+    assert found.count() < 0.05 * len(texts)
+
+
 @pytest.mark.parametrize("t", [0.55, 0.6, 0.75, 1.0])
 def test_sets_of_any_two_sizes_meet_as_often_as_said(t):
     rng = np.random.default_rng(8)
