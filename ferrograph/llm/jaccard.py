@@ -7,9 +7,13 @@ mostly have rare neighbours, so that unlike documents share few elements. If x a
 3 o - |x| - |y| - 1 elements in common, so at least s = (2 t - 1) |x| - 1 of the larger one's, x. Elements are ordered from rare to
 common (by counts of both grams over the whole corpus in 2**``RANK_BITS`` cells, ties by hash), and by the prefix principle two
 similar sets have about k elements of the larger one in common already among the first |x| - 1 - s + k of each. (Small sets use
-their grams alone as elements, sets just above the small ones use both kinds.) The documents with an element in common make a bucket, and the one with
-the smallest key is its pivot. A document that meets others in fewer elements than k has no partner and goes; of the pivots of the
-others, those go by which it meets others in no more than (k - 1) / 2 elements in all, as then every similar pair still has a pivot
+their grams alone as elements, sets just above the small ones use both kinds.) The documents with an element in common make a bucket.
+In the end every element is shared with some document by chance, but few with the same one; so buckets of up to ``FEW_DOCS``
+documents count how many elements each pair of them has in common, c, and the one of the pair with the smaller key is its pivot. In
+larger buckets, s_x of which hold x, all documents meet by the one with the smallest key. A pair with c + s_x < k isn't similar, x
+being the larger one. It is in a region if c is a third of k at least; if not, it has more than k - k / 3 elements in common in large
+buckets. So a document with no more of these needs none of their pivots; of those of the others, the ones go by which it meets
+others in no more than (k - k / 3) / 2 elements in all, as then every similar pair still has a pivot
 in common. The documents of a pivot are its region. Documents that can't be similar to any other of their region, by
 counts of their grams in a few cells, leave it before whole sets are sent. A region over ``MAX_REGION`` documents is divided by
 pivots of its own: each document goes to the Voronoi cell of its nearest pivot, and to the cell of each pivot p with d(x, p)
@@ -49,6 +53,8 @@ MAX_REGION = 8000
 RANK_BITS = 18
 #: Elements that two similar sets must have in common, beyond one, as a share of a set's grams, from a threshold on. What unlike sets share by chance has to stay below.
 MARGINS = ((0.7, 0.05), (0.0, 0.1))
+#: Up to so many documents with an element in common are paired. More make more rows of copies, fewer more candidates of large tables by chance (see the README).
+FEW_DOCS = 8
 #: Elements to a bucket, and elements that a task holds before it sends them.
 BUCKET = 3_000_000
 HELD = 4_000_000
@@ -251,7 +257,7 @@ def by_bucket(rows: DataFrame, buckets: int, widths: list[int], done: Callable,
 
 
 WIDTHS = [6, 5, 1]
-EDGE_WIDTHS = [5, 5, 3, 1]
+EDGE_WIDTHS = [5, 5, 3, 1, 1]
 
 
 def bucket_rows(docs: DataFrame, rank: np.ndarray, buckets: int, n: int, t: float) -> DataFrame:
@@ -313,10 +319,19 @@ def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
+def summed(key: np.ndarray, other: np.ndarray, times: np.ndarray, size: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+    """Equal rows (key, other, pair) once, with the sum of their times and their smallest size."""
+    order = np.lexsort((pair, other, key))
+    key, other, times, size, pair = (x[order] for x in (key, other, times, size, pair))
+    begin, _ = runs(key, other, pair)
+    return [key[begin], other[begin], np.add.reduceat(times, begin), np.minimum.reduceat(size, begin), pair[begin]]
+
+
 def star_rows(rows: DataFrame, buckets: int, t: float) -> DataFrame:
-    """(bucket, data): documents, the pivots that they meet others by, in how many elements, and their sizes.
+    """(bucket, data): documents, others, in how many elements they meet, sizes of the documents, and whether a row is of a pair.
 
-    A bucket is cut where the next size is too large for a similar set.
+    The other one of a pair is of the same size or smaller; that of other rows is the pivot of a bucket of many. A bucket is cut where
+    the next size is too large for a similar set.
     """
     far = int(np.floor(8 * np.log2(1 / t) + 1e-9)) + 1
 
@@ -334,38 +349,40 @@ def star_rows(rows: DataFrame, buckets: int, t: float) -> DataFrame:
             return
         cut = np.append(True, (e[1:] != e[:-1]) | (size[1:] - size[:-1] > far))
         begin, of = np.flatnonzero(cut), np.cumsum(cut) - 1
-        many = np.diff(np.append(begin, len(e)))[of] > 1
-        key, pivot, size = key[many], np.minimum.reduceat(key, begin)[of][many], size[many]
-        order = np.lexsort((size, pivot, key))
-        key, pivot, size = key[order], pivot[order], size[order]
-        begin, _ = runs(key, pivot)
-        if len(begin):
-            times = np.diff(np.append(begin, len(key)))
-            columns = [key[begin], pivot[begin], times.astype(np.uint64), size[begin].astype(np.uint64)]
-            yield from sent(bucket_of(columns[0], SHORT_BITS, max(1, buckets // 4)), list(zip(columns, EDGE_WIDTHS, strict=True)))
+        count = np.diff(np.append(begin, len(e)))[of]
+        many, few = count > FEW_DOCS, (count > 1) & (count <= FEW_DOCS)
+        held = [summed(key[many], np.minimum.reduceat(key, begin)[of][many], np.ones(int(many.sum()), np.int64), size[many], np.zeros(int(many.sum()), np.int64))]
+        for lag in range(1, FEW_DOCS):
+            x = np.flatnonzero(few[lag:] & (of[lag:] == of[:-lag])) + lag
+            x = x[size[x] - size[x - lag] <= far]
+            held.append(summed(key[x], key[x - lag], np.ones(len(x), np.int64), size[x], np.ones(len(x), np.int64)))
+            if sum(len(part[0]) for part in held) >= HELD // 4 or lag == FEW_DOCS - 1:
+                found, other, times, z, pair = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held.clear()
+                if len(found):
+                    yield from sent(bucket_of(found, SHORT_BITS, max(1, buckets // 4)), list(zip([found, other, times, z, pair], EDGE_WIDTHS, strict=True)))
 
     return by_bucket(rows, buckets, WIDTHS, stars, "bucket int, data binary")
 
 
 def regions(rows: DataFrame, buckets: int, t: float) -> DataFrame:
-    """(region, short): the pivots that each document needs to meet every similar one."""
-
-    def chosen(key: np.ndarray, pivot: np.ndarray, times: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((pivot, key))
-        key, pivot, times, size = (x[order] for x in (key, pivot, times, size))
-        begin, _ = runs(key, pivot)
-        times, size = np.add.reduceat(times.astype(np.int64), begin), np.minimum.reduceat(size, begin)
-        key, pivot = key[begin], pivot[begin]
-        order = np.lexsort((times, key))
-        key, pivot, times, size = (x[order] for x in (key, pivot, times, size))
+    """(region, short): the pivots that each document needs to meet every similar one. A row may come more than once."""
+
+    def chosen(key: np.ndarray, other: np.ndarray, times: np.ndarray, size: np.ndarray, pair: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, other, times, size, pair = summed(key, other, times.astype(np.int64), size, pair)
         begin, of = runs(key)
-        k = least_needed(np.minimum.reduceat(size, begin), t)[of]
-        upto = np.cumsum(times)
-        whole = np.add.reduceat(times, begin)
-        upto -= (np.cumsum(whole) - whole)[of]
-        keep = (whole[of] >= k) & (upto > (k - 1) // 2)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(pivot[keep].astype(np.int64)), pa.array(key[keep].astype(np.int64))], names=["region", "short"])
+        k = least_needed(np.minimum.reduceat(size, begin), t)
+        third = -(-k // 3)
+        among_many = np.add.reduceat(np.where(pair == 0, times, 0), begin)
+        near = np.flatnonzero((pair > 0) & (times >= third[of]) & (times + among_many[of] >= k[of]))
+        star = np.flatnonzero((pair == 0) & (among_many > k - third)[of])
+        star = star[np.lexsort((times[star], of[star]))]
+        upto = np.cumsum(times[star]) - (np.cumsum(among_many * (among_many > k - third)) - among_many)[of[star]]
+        star = star[upto > ((k - third) // 2)[of[star]]]
+        pivot = np.minimum(key[near], other[near])
+        region, short = np.concatenate([other[star], pivot, pivot]), np.concatenate([key[star], key[near], other[near]])
+        if len(region):
+            yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int64)), pa.array(short.astype(np.int64))], names=["region", "short"])
 
     return by_bucket(rows, max(1, buckets // 4), EDGE_WIDTHS, chosen, "region long, short long")
 

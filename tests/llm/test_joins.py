@@ -147,6 +147,53 @@ def test_pipeline_forms_no_regions_of_unlike_documents(spark):
     assert found.count() < 0.05 * len(texts)
 
 
+def test_many_unlike_documents_form_no_regions(spark):
+    """Documents that share many elements with others, but few with the same one, as those of large tables do."""
+    rng = np.random.default_rng(11)
+    names = np.array([f"w{k}" for k in range(5_000)])
+    texts = [" ".join(names[np.where(rng.random(150) < 0.7, rng.integers(0, 6, 150), rng.integers(6, 5_000, 150))]) for _ in range(4_000)]
+    texts += [text.replace(" w3 ", " three ", 2) for text in texts[:20]]
+    own = jaccard.Sets(*grams.text_bytes(pa.array(texts)))
+    counts = np.bincount((own.flat >> np.uint64(64 - jaccard.RANK_BITS)).astype(np.int64), minlength=1 << jaccard.RANK_BITS)
+    rank = np.round(1000 * np.log2(1 + counts)).astype(np.uint64)
+    e, doc = jaccard.elements(own, np.arange(len(texts)), rank, 0.6)
+    _, at, times = np.unique(e, return_inverse=True, return_counts=True)
+    met = np.bincount(doc[times[at] > 1], minlength=len(texts))
+    assert (met >= jaccard.least_needed(jaccard.scaled(own.size), 0.6)).mean() > 0.9
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = jaccard.regions(jaccard.star_rows(jaccard.bucket_rows(docs, rank, 4, 2, 0.6), 4, 0.6), 4, 0.6)
+    several = found.distinct().groupBy("region").agg(F.collect_set("short").alias("of")).filter(F.size("of") > 1).collect()
+    short = jaccard.shorts(own.keys).tolist()
+    changed = [(a, b) for a, b in zip(short[:20], short[4_000:], strict=True) if a != b]
+    assert len(changed) > 10 and all(any({a, b} <= set(r["of"]) for r in several) for a, b in changed)
+    assert found.count() < 0.05 * len(texts)
+
+
+@pytest.mark.parametrize("t", [0.55, 0.6, 0.75])
+def test_similar_documents_are_in_a_region_together(spark, t):
+    """Also where some of their elements are in buckets of few, some in buckets of many, and third documents hold both kinds."""
+    rng = random.Random(13)
+    texts = []
+    for size in (2, 3, 7, 8, 9, 10, 20):
+        for n in (8, 20, 27, 60, 150):
+            base, other = prose(rng, n), prose(rng, n)
+            for _ in range(size):
+                at = rng.randint(0, n)  # a run from the other one, and an end that may be cut
+                words = base.split()[:at] + other.split()[at : at + n // 6] + base.split()[at + n // 6 :]
+                texts.append(edited(rng, " ".join(words[: rng.randint(int(0.85 * n), n)]), rng.choice([0, 0.02, 0.08])))
+    own = jaccard.Sets(*grams.text_bytes(pa.array(texts)))
+    counts = np.bincount((own.flat >> np.uint64(64 - jaccard.RANK_BITS)).astype(np.int64), minlength=1 << jaccard.RANK_BITS)
+    rank = np.round(1000 * np.log2(1 + counts)).astype(np.uint64)
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = jaccard.regions(jaccard.star_rows(jaccard.bucket_rows(docs, rank, 8, 2, t), 8, t), 8, t).collect()
+    of = {}
+    for r in found:
+        of.setdefault(r["short"], set()).add(r["region"])
+    short, similar = jaccard.shorts(own.keys).tolist(), all_pairs(list(enumerate(texts)), 2, t)
+    apart = [(a, b) for a, b in similar if short[a] != short[b] and not of.get(short[a], set()) & of.get(short[b], set())]
+    assert len(similar) > 50 and not apart
+
+
 @pytest.mark.parametrize("t", [0.55, 0.6, 0.75, 1.0])
 def test_sets_of_any_two_sizes_meet_as_often_as_said(t):
     rng = np.random.default_rng(8)
