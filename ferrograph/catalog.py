@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferrograph.functions import naming
 from ferrograph.operators import assets, locate, maintain, match, navigate, present, query, references, textindex, traverse
 from ferrograph.schema import EDGE, Graph
+from ferrograph.session import kept
 from ferrograph.sources import gradle
 from ferrograph.sources.star import SQL, Star, table
 from ferrograph.streaming import watch
@@ -230,12 +231,15 @@ def container_at(spark, d):
 def text_graph(spark, d, symbols: DataFrame) -> Graph:
     """Documents as files of which each token is a use of the symbol tok.<token>; the symbols are declared where they come first."""
     files = Star(spark, d).files()
-    occ = textindex.line_occurrences(files).join(symbols.select("token").distinct(), "token", "left_semi")
+    symbols = kept(symbols.select("token").distinct(), "symbols")
+    occ = kept(textindex.line_occurrences(files).join(symbols, "token", "left_semi").select("path", "token", "line", "place"), "occurrences")
     at = [c("line").alias("start_line"), c("place").alias("start_col"), c("line").alias("end_line"), (c("place") + 1).alias("end_col")]
     occ = occ.select("path", "token", *at, F.concat(F.lit("tok."), "token").alias("resolved_fqn"), F.lit(True).alias("is_call"))
-    first = occ.groupBy("token").agg(F.min(F.struct("path", *locate.RANGE_COLUMNS)).alias("p"))
+    soon = occ.filter("start_line = 0 AND start_col < 4").groupBy("token").agg(F.min("path").alias("bound"))  # no symbol is declared behind the path of some occurrence
+    early = occ.join(kept(symbols.join(soon, "token", "left"), "bounds"), "token").filter("bound IS NULL OR path <= bound")
+    first = early.groupBy("token").agg(F.min(F.struct("path", *locate.RANGE_COLUMNS)).alias("p"))
     declared = first.select(F.concat(F.lit("tok."), "token").alias("fqn"), c("token").alias("name"), F.lit("field").alias("kind"), c("p.path").alias("path"), F.struct(*(c(f"p.{x}").alias(x) for x in locate.RANGE_COLUMNS)).alias("range"))
-    declared = declared.withColumn("selection_range", c("range"))
+    declared = kept(declared.withColumn("selection_range", c("range")), "declared")
     blocks = block_nodes(files).select("fqn", c("fqn").alias("name"), "kind", "path", "range").withColumn("selection_range", F.lit(None).cast(declared.schema["range"].dataType))
     return Graph(declared.unionByName(blocks), spark.createDataFrame([], EDGE), files, textindex.tokenize(files), occ)
 

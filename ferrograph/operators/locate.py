@@ -52,13 +52,22 @@ def container_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Equal paths are joined first, so that the interval test stays within a file.
     """
-    inside = nodes.filter(F.col("range").isNotNull()).select("path", "fqn", "range")
-    asked = points.select("path", "line", "col").distinct()
-    held = asked.join(inside, "path").filter(contains("range", F.col("line"), F.col("col")))
-    best = held.groupBy("path", "line", "col").agg(F.min_by("fqn", F.struct(range_size("range").alias("size"), "fqn")).alias("container"))
+    best = held_by(points.select("path", "line", "col").distinct(), nodes)
     return points.join(best, ["path", "line", "col"], "left")
 
 
+def held_by(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of points that are distinct rows (path, line, col and others), those that a node holds, with the ``container``.
+
+    Points that come partitioned by path are not shuffled again.
+    """
+    inside = nodes.filter(F.col("range").isNotNull()).select("path", "fqn", "range")
+    around = F.coalesce((F.col("range.start_line") <= F.col("line")) & (F.col("line") <= F.col("range.end_line")), F.lit(True))  # cheaper than contains
+    held = points.join(inside, "path").filter(around & contains("range", F.col("line"), F.col("col")))
+    place = ["path", "line", "col"]
+    return held.groupBy(*place, *(c for c in points.columns if c not in place)).agg(F.min(F.struct(range_size("range").alias("size"), "fqn"))["fqn"].alias("container"))
+
+
 def node_at(graph: Graph, path: str, line: int, col: int) -> DataFrame:
     """The node whose name stands at a position."""
     return graph.nodes.filter((F.col("path") == path) & contains("selection_range", F.lit(line), F.lit(col))).orderBy("fqn").limit(1)

@@ -39,6 +39,8 @@ def closure(edges: DataFrame, edge_types: Sequence[str] = SUPER, rev: bool = Fal
     if safe:
         front = front.checkpoint()
     seen = front.withColumn("depth", F.lit(1))
+    if front.isEmpty():
+        return seen.filter(F.lit(False))  # seen to be empty when a query is planned: what is joined with it isn't computed
     for depth in itertools.count(2) if max_depth is None else range(2, max_depth + 1):
         front = front.join(steps, F.col("reached") == F.col("a")).select("start", F.col("b").alias("reached")).filter("start != reached").distinct().join(seen, ["start", "reached"], "left_anti")
         if safe:

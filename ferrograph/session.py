@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -19,6 +20,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from Parquet in the shared folder, so that what it comes from is computed once and its size is known; as it is where no folder is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ferrograph import catalog
 from ferrograph.functions import naming
-from ferrograph.operators import locate, maintain, match, navigate, query, traverse, typesys
+from ferrograph.operators import locate, maintain, match, navigate, query, references, traverse, typesys
 from ferrograph.schema import EDGE, FILE, NODE, TOKEN, Graph, InvalidArgument, NotFound
+from ferrograph.session import kept
 from ferrograph.sources.store import Store
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
@@ -166,3 +167,42 @@ def test_naming(spark):
     assert row("a.B#x", naming.signature_parameters(f)) is None and row("a.B", naming.member_owner(f)) is None
     assert row("com.ex.app.Main", naming.shorten(f)) == "c.e.app.Main" and row("a/b/X.JAVA", naming.is_java(f))
     assert FILE and TOKEN
+
+
+def uses(spark, lines=40):
+    """Three files of which each line names two symbols; the second file is there twice."""
+    at = [(f"f{k}", name, i, j, i, j + 1, f"tok.{name}", True) for k in (0, 1, 1, 2) for i in range(lines) for j, name in enumerate("ab")]
+    occ = spark.createDataFrame(at, "path string, token string, start_line int, start_col int, end_line int, end_col int, resolved_fqn string, is_call boolean")
+    r = lambda a, b, c, d: {"start_line": a, "start_col": b, "end_line": c, "end_col": d}
+    fields = [node(f"tok.{name}", "field", "f0", name=name, range=r(0, j, 0, j + 1), selection_range=r(0, j, 0, j + 1)) for j, name in enumerate("ab")]
+    blocks = [node(f"f{k}#b{i}()", "method", f"f{k}", range=r(i * 4, 0, i * 4 + 5, 1000)) for k in range(3) for i in range(lines // 4)]
+    return Graph(spark.createDataFrame(fields + blocks, NODE), spark.createDataFrame([], EDGE), None, None, occ), kept(spark.createDataFrame([("tok.a",), ("tok.b",)], "fqn string"), "asked")
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_joined_where_they_are_and_shuffled_once(spark):
+    """Rows of occurrences aren't brought together by token, nor all in one task for want of an owner."""
+    g, asked = uses(spark)
+    for whole, want in ((True, 240), (False, 238)):
+        refs = references.find_references(g, asked, include_declaration=whole)
+        plan = physical(refs)
+        assert refs.count() == want and refs.distinct().count() == want
+        assert "SortMergeJoin" not in plan and plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_callers_are_found_within_a_file(spark):
+    g, asked = uses(spark)
+    got = {(r.target, r.caller): len(r.ranges) for r in references.incoming_calls(g, asked).collect()}
+    assert sum(got.values()) == 238 and got[("tok.a", "f0#b0()")] == 5 and got[("tok.b", "f1#b0()")] == 6 and len(got) == 60
+
+
+def test_members_of_related_owners_are_references(spark, chain):
+    """Occurrences that resolve to a relative's member of the name count; those of strangers, and of other signatures, don't."""
+    rows = [("f", "run", k, 0, k, 3, to) for k, to in enumerate(("p.C3#run(int)", "p.C0#run(int)", "q.X#run(int)", "p.C0#run(long)", "p.C0#run", "p.C3#run", None))]
+    occ = spark.createDataFrame(rows, "path string, token string, start_line int, start_col int, end_line int, end_col int, resolved_fqn string")
+    nodes = chain.nodes.withColumn("name", naming.strip_signature(F.col("name")))
+    got = references.find_references(Graph(nodes, chain.edges, None, None, occ), spark.createDataFrame([("p.C3#run(int)",)], "fqn string")).collect()
+    assert sorted(r.start_line for r in got) == [0, 1, 4, 5]
