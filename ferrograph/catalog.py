@@ -464,7 +464,7 @@ def nodes_by_file(spark, d):
   SELECT path, line, unnest(regexp_extract_all(line_text, '[\\pL\\pN_]+')) AS token, generate_subscripts(regexp_extract_all(line_text, '[\\pL\\pN_]+'), 1) - 1 AS place
   FROM (SELECT path, unnest(string_split(content, chr(10))) AS line_text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files)) GROUP BY path, token""".replace("\\\\", "\\"))
 def occurrences_by_file(spark, d):
-    return textindex.line_occurrences(Star(spark, d).files()).groupBy("path", "token").agg(F.count_distinct("line").alias("lines"), F.min("place").cast("long").alias("first_place"))
+    return textindex.tokens_of_files(Star(spark, d).files())
 
 
 @sql("""SELECT doc_id, CAST(CASE WHEN doc_id % 40 <= length(l) THEN strlen(left(l, CAST(doc_id % 40 AS INTEGER))) END AS INTEGER) AS byte_col,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ferrograph import catalog
 from ferrograph.functions import naming
-from ferrograph.operators import locate, maintain, match, navigate, query, references, traverse, typesys
+from ferrograph.operators import locate, maintain, match, navigate, query, references, textindex, traverse, typesys
 from ferrograph.schema import EDGE, FILE, NODE, TOKEN, Graph, InvalidArgument, NotFound
 from ferrograph.session import kept
 from ferrograph.sources.store import Store
@@ -206,3 +206,13 @@ def test_members_of_related_owners_are_references(spark, chain):
     nodes = chain.nodes.withColumn("name", naming.strip_signature(F.col("name")))
     got = references.find_references(Graph(nodes, chain.edges, None, None, occ), spark.createDataFrame([("p.C3#run(int)",)], "fqn string")).collect()
     assert sorted(r.start_line for r in got) == [0, 1, 4, 5]
+
+
+def test_tokens_are_counted_within_a_file(spark):
+    """Lines and least places, also of a file that is there twice, of empty texts and of none; nothing is shuffled by token."""
+    rows = [("a", "x y x\n\ny x"), ("b", "p q\nq"), ("b", "p\nr\nq p"), (None, "n"), (None, "m n"), ("c", ""), ("d", None), ("e", "é_1-2")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = textindex.tokens_of_files(files)
+    want = textindex.line_occurrences(files).groupBy("path", "token").agg(F.count_distinct("line").alias("lines"), F.min("place").cast("long").alias("first_place"))
+    assert got.columns == want.columns and plain(got.collect()) == plain(want.collect()) and got.count() == 10
+    assert "Exchange" not in physical(textindex.tokens_of_files(files.filter("path IN ('a', 'c', 'd', 'e')")))
