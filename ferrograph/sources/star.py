@@ -65,18 +65,26 @@ class Star:
         ]
         return reduce(DataFrame.unionByName, parts)
 
+    def lines(self, key: str) -> DataFrame:
+        """Distinct ``(f, key)`` of orders' lines. Each FQN holds its key, so that keys are made distinct, where they are to be joined, and not names."""
+        c = F.col
+        owners = self.customer.select("c_custkey", c("f").alias("up")).repartition("c_custkey").distinct()
+        orders = table(self.spark, self.dir, "orders").select("o_orderkey", "o_custkey").repartition("o_custkey").distinct()
+        methods = orders.join(owners, c("o_custkey") == c("c_custkey")).select("o_orderkey", F.concat("up", F.lit("#o"), "o_orderkey", F.lit("()")).alias("f"))
+        return self.lineitem.select("l_orderkey", key).repartition("l_orderkey").distinct().join(methods, c("l_orderkey") == c("o_orderkey")).select("f", key)
+
     def edges(self) -> DataFrame:
         c = F.col
         make = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("edge_type"))
-        lines = self.lineitem.join(self.orders.select("o_orderkey", "f"), c("l_orderkey") == c("o_orderkey"))
         suppliers = self.supplier.select("s_suppkey", c("f").alias("s"))
+        typed, used = self.lines("l_partkey"), self.lines("l_suppkey").join(suppliers.distinct(), c("l_suppkey") == c("s_suppkey"))
         parts = [
             make(self.nation, c("up"), c("f"), "Contains"),
             make(self.customer, c("up"), c("f"), "Contains"),
             make(self.supplier, c("up"), c("f"), "Contains"),
             make(self.orders, c("up"), c("f"), "Contains"),
-            make(lines, c("f"), F.concat(F.lit("parts.P"), "l_partkey"), "TypedAs").distinct(),
-            make(lines.join(suppliers, c("l_suppkey") == c("s_suppkey")), c("f"), c("s"), "UsesDependency").distinct(),
+            make(typed, c("f"), F.concat(F.lit("parts.P"), "l_partkey"), "TypedAs"),
+            make(used, c("f"), c("s"), "UsesDependency"),
             make(self.customer.join(suppliers, c("s_suppkey") == c("c_custkey") % 10), c("f"), c("s"), "Implements"),
             make(self.part, c("f"), c("type_f"), "InheritsFrom"),
             make(self.part, c("f"), c("brand_f"), "DecoratedBy"),

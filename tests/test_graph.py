@@ -9,6 +9,7 @@ from ferrograph.functions import naming
 from ferrograph.operators import locate, maintain, match, navigate, query, references, textindex, traverse, typesys
 from ferrograph.schema import EDGE, FILE, NODE, TOKEN, Graph, InvalidArgument, NotFound
 from ferrograph.session import kept
+from ferrograph.sources.star import SQL, Star
 from ferrograph.sources.store import Store
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
@@ -216,3 +217,18 @@ def test_tokens_are_counted_within_a_file(spark):
     want = textindex.line_occurrences(files).groupBy("path", "token").agg(F.count_distinct("line").alias("lines"), F.min("place").cast("long").alias("first_place"))
     assert got.columns == want.columns and plain(got.collect()) == plain(want.collect()) and got.count() == 9
     assert "Exchange" not in physical(textindex.tokens_of_files(files.filter("path IN ('a', 'c', 'd', 'e')")))
+
+
+def test_edges_of_rows_that_are_there_twice(spark, small, tmp_path):
+    """Edges are those of the SQL where orders, customers and suppliers are there twice or lie in two nations; names aren't made distinct."""
+    con = duckdb.connect()
+    twice = {"customer": "c_nationkey", "supplier": "s_nationkey", "orders": "o_custkey", "lineitem": "l_partkey"}
+    for t in TABLES:
+        more = f"UNION ALL SELECT * FROM t UNION ALL SELECT * REPLACE (({twice[t]} + 1) % 20 AS {twice[t]}) FROM t" if t in twice else ""
+        con.execute(f"COPY (WITH t AS (SELECT * FROM '{small}/{t}.parquet') SELECT * FROM t {more}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    edges = Star(spark, str(tmp_path)).edges()
+    got = {tuple(r) for r in edges.groupBy("edge_type").agg(F.count("*"), F.sum(F.length("src") + F.length("dst")), F.count_distinct("src", "dst")).collect()}
+    want = con.execute(SQL + "SELECT edge_type, count(*), sum(length(src) + length(dst)), count(DISTINCT (src, dst)) FROM edges GROUP BY ALL").fetchall()
+    assert got == {(t, n, int(chars), pairs) for t, n, chars, pairs in want}
+    assert "keys=[src#" not in physical(edges) and "keys=[l_orderkey#" in physical(edges)
