@@ -37,10 +37,10 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def bind_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges whose source is known, placeholders for their unknown targets)."""
-    known = nodes.select("fqn").distinct()
-    bound = edges.join(known, edges["src"] == known["fqn"], "left_semi").dropDuplicates(["src", "dst", "edge_type"])
-    lost = bound.select(F.col("dst").alias("fqn")).distinct().join(known, "fqn", "left_anti")
-    return bound, placeholders(lost, nodes)
+    known = nodes.select("fqn")
+    held = edges.join(known, edges["src"] == known["fqn"], "left_semi")
+    lost = held.select(F.col("dst").alias("fqn")).distinct().join(known, "fqn", "left_anti")
+    return held.dropDuplicates(["src", "dst", "edge_type"]), placeholders(lost, nodes)
 
 
 def placeholders(fqns: DataFrame, like: DataFrame) -> DataFrame:

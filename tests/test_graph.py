@@ -232,3 +232,11 @@ def test_edges_of_rows_that_are_there_twice(spark, small, tmp_path):
     want = con.execute(SQL + "SELECT edge_type, count(*), sum(length(src) + length(dst)), count(DISTINCT (src, dst)) FROM edges GROUP BY ALL").fetchall()
     assert got == {(t, n, int(chars), pairs) for t, n, chars, pairs in want}
     assert "keys=[src#" not in physical(edges) and "keys=[l_orderkey#" in physical(edges)
+
+
+def test_placeholders_are_found_without_distinct_edges(spark, chain):
+    """Known nodes and, for placeholders, edges aren't made distinct; nodes that are there twice do no harm."""
+    edges = chain.edges.unionByName(chain.edges).unionByName(spark.createDataFrame([("p.C1", "lib.X", "InheritsFrom", None), ("q", "lib.Y", "InheritsFrom", None)], EDGE))
+    bound, lost = maintain.bind_edges(edges, chain.nodes.unionByName(chain.nodes))
+    assert bound.count() == chain.edges.count() + 1 and [r.fqn for r in lost.collect()] == ["lib.X"]
+    assert physical(lost.select("fqn")).count("keys=[") == 2
