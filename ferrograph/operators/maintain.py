@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrograph.functions import naming
 from ferrograph.schema import NODE, Graph
+from ferrograph.session import kept
 
 
 def with_hash(files: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def placeholders(fqns: DataFrame, like: DataFrame) -> DataFrame:
 
 def remove_paths(graph: Graph, paths: DataFrame) -> Graph:
     """Without the nodes of some files, and without the edges that begin in them; edges from other files stay."""
-    gone = paths.select("path").distinct()
+    gone = kept(paths.select("path").distinct(), "gone")  # of known size: nodes of a file that holds many aren't brought together where a few files go
     nodes = graph.nodes.join(gone, "path", "left_anti").select(*graph.nodes.columns)
     edges = graph.edges.join(gone.withColumnRenamed("path", "src_path"), "src_path", "left_anti").select(*graph.edges.columns)
     part = lambda df: None if df is None else df.join(gone, "path", "left_anti").select(*df.columns)

@@ -240,3 +240,10 @@ def test_placeholders_are_found_without_distinct_edges(spark, chain):
     bound, lost = maintain.bind_edges(edges, chain.nodes.unionByName(chain.nodes))
     assert bound.count() == chain.edges.count() + 1 and [r.fqn for r in lost.collect()] == ["lib.X"]
     assert physical(lost.select("fqn")).count("keys=[") == 2
+
+
+def test_files_are_removed_where_their_nodes_are(spark, chain):
+    """Nodes of one file don't meet in one task."""
+    left = maintain.remove_paths(chain, spark.createDataFrame([("C3.java",)], "path string"))
+    assert left.nodes.count() == 13 and left.edges.count() == chain.edges.count() - 3
+    assert "SortMergeJoin" not in physical(left.nodes) and "SortMergeJoin" not in physical(left.edges)
